@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import fusion, sampling, splits
+from moraine.llm import fusion, mixing, quality, sampling, splits, tokens
 from moraine.session import table
 
 SCORES = ("max_bi", "max_cross", "jaccard", "levenshtein")
@@ -62,7 +62,37 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select(F.col("key_a").alias("wikiid_a"), F.col("key_b").alias("wikiid_b"))
 
 
-QUERIES = {f.__name__: f for f in (p3_ranking, p3_found, p4_sample, p4_report, p4_found, p6_splits, p6_report, p6_found)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids of every document by byte_bpe_50k."""
+    return tokens.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = tokens.token_counts(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "text", ["doc_id", "source"])
+    return mixing.mix_sources(docs, table(spark, sf_dir, "mix_weights"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1].filter("not reached").select("source")
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_statistics(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_statistics(spark, sf_dir).filter("is_prose = false").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_report, p9_found, p10_statistics, p10_found, p3_ranking, p3_found, p4_sample, p4_report, p4_found, p6_splits, p6_report, p6_found)}
 
 _FUSED = """
 i AS (SELECT query_id, feature_id, max(max_bi) AS a, max(max_cross) AS b, max(jaccard) AS c, max(levenshtein) AS d
