@@ -5,12 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import fusion, mixing, quality, sampling, splits, tokens
+from moraine.llm import clusters, fusion, mixing, quality, sampling, search, splits, tokens
+from moraine.llm.vectors import from_base64
 from moraine.session import table
 
 SCORES = ("max_bi", "max_cross", "jaccard", "levenshtein")
 
 
+DIM = 128
+SAME = 0.8
+NEAR = 0.7
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "cluster_items", "item_id", "mentions", "embeddings", "encodings")
+    text = F.when(F.length("embeddings") > 0, F.col("embeddings")).otherwise(F.col("encodings"))
+    return t.select(F.col("item_id").alias("item"), F.col("mentions").alias("name"), from_base64(text).alias("vector"))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical records, with their mentions, of every cluster."""
+    items = _items(spark, sf_dir)
+    members, vectors = clusters.average_linkage(items, DIM, SAME)
+    return clusters.typical_members(members, vectors, items.select("item", "name"), DIM)
+
+
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every readable record."""
+    members, _ = clusters.average_linkage(_items(spark, sf_dir), DIM, SAME)
+    return members.select(F.col("item").alias("item_id"), "cluster")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_pairs(*clusters.average_linkage(_items(spark, sf_dir), DIM, SAME), DIM, SAME)
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top_k entries of kb_vectors for every readable query."""
+    kb = table(spark, sf_dir, "kb_vectors", "id", "indexer", "encoding")
+    asked = table(spark, sf_dir, "search_requests", "query_id", "encodings", "top_k")
+    return search.most_similar(
+        kb.select(F.col("indexer").alias("space"), "id", F.col("encoding").alias("vector")),
+        asked.select("query_id", "top_k", from_base64(F.col("encodings")).alias("vector")),
+        DIM,
+    ).withColumnRenamed("space", "indexer")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_neighbours(spark, sf_dir).filter(F.col("cosine") >= NEAR).select("query_id", "indexer", "id")
+
+
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(table(spark, sf_dir, "nil_features", "query_id", "feature_id", *SCORES), "query_id", "feature_id", SCORES)
 
@@ -92,7 +136,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_statistics(spark, sf_dir).filter("is_prose = false").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_report, p9_found, p10_statistics, p10_found, p3_ranking, p3_found, p4_sample, p4_report, p4_found, p6_splits, p6_report, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_clusters, p1_members, p1_found, p2_neighbours, p2_found, p8_ids, p9_mix, p9_report, p9_found, p10_statistics, p10_found, p3_ranking, p3_found, p4_sample, p4_report, p4_found, p6_splits, p6_report, p6_found)}
 
 _FUSED = """
 i AS (SELECT query_id, feature_id, max(max_bi) AS a, max(max_cross) AS b, max(jaccard) AS c, max(levenshtein) AS d
