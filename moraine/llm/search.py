@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.llm.vectors import clean_vectors, matrix, rotation
+from moraine.functions.vectors import clean_vectors, matrix, rotation
 from moraine.session import cut, shuffle_width
 
 SAMPLE_ROWS = 16_384  # vectors the lists are fitted on, and from which first thresholds come
