@@ -31,9 +31,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the reliable checkpoint folder, so that a lost executor costs no recomputation."""
+    """Materialise df in the reliable checkpoint folder, so that a lost executor costs no recomputation.
+
+    The result forgets its size estimate as well as its lineage: estimates of joins multiply, and over
+    the rounds of an iterative operator they would grow to numbers that the planner cannot handle. The
+    joins over it start as shuffles, and adaptive execution turns those of small sides into broadcasts.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    spark = df.sparkSession
+    plain = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(plain, spark)
 
 
 def shuffle_width(spark: SparkSession) -> int:
