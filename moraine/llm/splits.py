@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from moraine.operators.graph import flatten
 from moraine.operators.ranking import hash_uniform, running_weight
 from moraine.session import cut
 
@@ -36,7 +37,7 @@ def linked_keys(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Least key linked to each key (key, label) over a bipartite graph of (key, word) rows.
 
     Minimum-label propagation: a word takes the least label of its keys, a label the least of its
-    words, with a pointer jump; edges are rewritten to labels, and words left with one label drop
+    words, followed to the end of its chain; edges are rewritten to labels, and words left with one label drop
     out, so a round touches open links only. Rows with a null side link nothing. Keys that share no
     word with another are not returned: their label is the key itself.
     """
@@ -49,10 +50,8 @@ def linked_keys(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
             labels = cut(open_.select(F.col("label").alias("key")).distinct().withColumn("label", F.col("key")))
         if open_.isEmpty():
             return labels
-        hook = open_.groupBy("label").agg(F.min("least").alias("to")).filter("to < label")
-        hook = cut(hook)
-        jump = hook.select(F.col("label").alias("to"), F.col("to").alias("far"))
-        hook = cut(hook.join(jump, "to", "left").select("label", F.coalesce("far", "to").alias("to")))
+        hook = open_.groupBy(F.col("label").alias("x")).agg(F.min("least").alias("to")).filter("to < x")
+        hook = flatten(hook).withColumnRenamed("x", "label")
         live = open_.join(hook, "label", "left").select(F.coalesce("to", "label").alias("label"), "word").distinct()
         labels = cut(labels.join(hook, "label", "left").select("key", F.coalesce("to", "label").alias("label")))
     raise RuntimeError(f"labels not stable after {max_rounds} rounds")
