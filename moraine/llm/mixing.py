@@ -31,7 +31,7 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int =
     while todo.any():
         left, right = value[todo] >> half[todo], value[todo] & mask[todo]
         for r in range(rounds):
-            mixed = right + key[todo].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = right + key[todo].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((r + 1) * 0xBF58476D1CE4E5B9 % 2**64)
             mixed ^= mixed >> np.uint64(30)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(27)
@@ -49,6 +49,8 @@ def shard_counts(weights: np.ndarray, caps: np.ndarray, slots: int, shards: int,
     Multinomial draws per shard; a source drawn more often than its cap is thinned to it evenly over
     the shards (a hypergeometric draw), and its places stay empty, which the report shows.
     """
+    if not len(weights):
+        return np.zeros((shards, 0), np.int64)
     rng = np.random.default_rng(seed)
     per = np.full(shards, slots // shards, np.int64)
     per[: slots % shards] += 1

@@ -100,7 +100,7 @@ def describe(text: str | None) -> tuple:
     n = len(lines)
     size = [sum(map(len, x.split())) for x in lines]
     visible = sum(size)
-    good, bad, count, broken = [], [], [], []
+    good, bad, count, broken, single = [], [], [], [], []
     for line, words in zip(lines, words_of, strict=True):
         c = s = 0
         for w in words:
@@ -111,16 +111,17 @@ def describe(text: str | None) -> tuple:
         good.append(c)
         bad.append(s)
         count.append(len(words))
+        single.append(sum(len(w) == 1 for w in words))
         broken.append(len(BROKEN_CASE.findall(line)))
     bullets = [BULLET.match(x) is not None for x in lines]
     prose = 0
     for i in range(n):
         near = range(i, i + 1) if count[i] >= ENOUGH_WORDS else range(max(0, i - 1), min(n, i + 2))
-        k, c, s, b = (sum(x[j] for j in near) for x in (count, good, bad, broken))
+        k, c, s, b, one = (sum(x[j] for j in near) for x in (count, good, bad, broken, single))
         if not count[i] or not k:
             continue
         own = sum(map(len, words_of[i])) / max(1, size[i])  # letters against visible characters
-        if own < 0.55 or (c - 1.5 * s - b) / k < COMMON_SHARE or (count[i] >= 6 and good[i] == 0):
+        if own < 0.55 or one > k / 2 or (c - 1.5 * s - b) / k < COMMON_SHARE or (count[i] >= 6 and good[i] == 0):
             continue
         prose += size[i]
     words = [w for x in words_of for w in x]

@@ -13,6 +13,7 @@ from moraine.operators.ranking import hash_uniform
 from moraine.session import cut, shuffle_width
 
 MAX_CATEGORIES = 1000
+BLOCK_ROWS = 4096
 EPS = 1e-9
 
 
@@ -77,52 +78,47 @@ def calibrate(counts: DataFrame, stratum: str, targets: list[tuple[str, float, i
 
 
 def _duel(stratum: str, final: bool):
-    """Sequential pivotal method over rows sorted by stratum: columns p (probability) and u (uniform).
+    """Sequential pivotal method over sorted rows: stratum, category, block, item, p (probability), u (uniform).
 
-    One unit of the stratum is undecided at a time; each arriving unit fights it and one of the two
-    is settled. Only that unit is kept between batches. What is left at the end of a stratum is
-    emitted undecided (p strictly between 0 and 1), or drawn with its own probability if `final`.
+    One unit is undecided at a time; each arriving unit fights it and one of the two is settled. Only
+    that unit is kept between batches. It changes with (stratum, category, block), and what is left is
+    emitted undecided (p strictly between 0 and 1); with `final`, it changes with the stratum alone,
+    and the last unit is drawn with its own probability.
     """
+    width = 1 if final else 3
+    names = [stratum, "category", "block", "item", "p", "u"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_row: tuple | None = None
+        open_: tuple | None = None
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False, name=None):
-                s, c, item, p, u = row
-                if open_row is not None and open_row[0] != s:
-                    out.append(_close(open_row, final))
-                    open_row = None
-                if p <= EPS or p >= 1 - EPS:
-                    out.append((s, c, item, float(p >= 0.5), u))
+                head, b, u = row[:4], row[4], row[5]
+                if open_ is not None and open_[:width] != row[:width]:
+                    out.append(_close(open_, final))
+                    open_ = None
+                if b <= EPS or b >= 1 - EPS:
+                    out.append((*head, float(b >= 0.5), u))
                     continue
-                if open_row is None:
-                    open_row = row
+                if open_ is None:
+                    open_ = row
                     continue
-                a, b = open_row[3], p
-                both = a + b
-                if both < 1 - EPS:
-                    if u * both < b:  # the newcomer keeps both shares
-                        out.append((*open_row[:3], 0.0, open_row[4]))
-                        open_row = (s, c, item, both, u)
-                    else:
-                        out.append((s, c, item, 0.0, u))
-                        open_row = (*open_row[:3], both, open_row[4])
-                else:
-                    left = both - 1
-                    if u * (2 - both) < 1 - b:  # the open unit is taken
-                        out.append((*open_row[:3], 1.0, open_row[4]))
-                        open_row = (s, c, item, left, u)
-                    else:
-                        out.append((s, c, item, 1.0, u))
-                        open_row = (*open_row[:3], left, open_row[4])
-                    if open_row[3] <= EPS:
-                        out.append((*open_row[:3], 0.0, open_row[4]))
-                        open_row = None
+                both = open_[4] + b
+                if both < 1 - EPS:  # one of the two takes both shares, the other leaves
+                    stay, go = (row, open_) if u * both < b else (open_, row)
+                    out.append((*go[:4], 0.0, go[5]))
+                    open_ = (*stay[:4], both, stay[5])
+                else:  # one of the two is drawn, the other keeps the rest
+                    taken, stay = (open_, row) if u * (2 - both) < 1 - b else (row, open_)
+                    out.append((*taken[:4], 1.0, taken[5]))
+                    open_ = (*stay[:4], both - 1, stay[5])
+                    if both - 1 <= EPS:
+                        out.append((*stay[:4], 0.0, stay[5]))
+                        open_ = None
             if out:
-                yield pd.DataFrame(out, columns=[stratum, "category", "item", "p", "u"])
-        if open_row is not None:
-            yield pd.DataFrame([_close(open_row, final)], columns=[stratum, "category", "item", "p", "u"])
+                yield pd.DataFrame(out, columns=names)
+        if open_ is not None:
+            yield pd.DataFrame([_close(open_, final)], columns=names)
 
     return run
 
@@ -131,8 +127,8 @@ def _close(row: tuple, final: bool) -> tuple:
     if not final:
         return row
     # the uniform of this unit has been used in its fights; a second one is folded out of it
-    second = (row[4] * 65537.0) % 1.0
-    return (*row[:3], float(second < row[3]), row[4])
+    second = (row[5] * 65537.0) % 1.0
+    return (*row[:4], float(second < row[4]), row[5])
 
 
 def draw_sample(
@@ -149,9 +145,9 @@ def draw_sample(
     no category are not drawn. Empty input: both empty.
 
     The category counts of a stratum are the only moments the Newton iterations need. The draw runs
-    over range partitions sorted by (stratum, category, hash), with one undecided unit carried, so a
-    stratum may span partitions; the units left undecided, at most one per partition and stratum,
-    meet in a second pass.
+    over blocks of about BLOCK_ROWS hashed units of a category, so a hot stratum spreads over tasks;
+    the units left undecided, at most one per block, meet in a second pass per stratum. The same seed
+    draws the same sample, whatever the partitions.
     """
     rows = targets.select("category", "value", "target_share", "min_rows", "sample_rows").limit(MAX_CATEGORIES + 1).collect()
     if len(rows) > MAX_CATEGORIES:
@@ -173,14 +169,15 @@ def draw_sample(
     counts = one.groupBy(stratum, "category").agg(F.count("*").alias("n"))
     plan = cut(calibrate(counts, stratum, [(r["category"], r["target_share"], r["min_rows"], r["sample_rows"]) for r in rows]))
 
-    chance = plan.filter("probability > 0").select(stratum, "category", F.col("probability").alias("p"))
-    schema = f"{stratum} {kind}, category string, item {item_kind}, p double, u double"
+    chance = plan.filter("probability > 0").select(stratum, "category", F.col("probability").alias("p"), "available")
+    schema = f"{stratum} {kind}, category string, block long, item {item_kind}, p double, u double"
+    spread = hash_uniform(seed + 1, F.col("item"))
+    block = F.floor(spread * F.ceil(F.col("available") / BLOCK_ROWS))
     units = one.filter("category is not null").join(chance, [stratum, "category"]).select(
-        stratum, "category", "item", "p", hash_uniform(seed, F.col("item")).alias("u")
+        stratum, "category", block.alias("block"), "item", "p", hash_uniform(seed, F.col("item")).alias("u")
     )
-    spread = hash_uniform(seed + 1, F.col("item"))
-    first = units.repartitionByRange(shuffle_width(df.sparkSession), stratum, "category", spread)
-    first = cut(first.sortWithinPartitions(stratum, "category", spread).mapInPandas(_duel(stratum, False), schema))
+    first = units.repartition(shuffle_width(df.sparkSession), stratum, "category", "block")
+    first = cut(first.sortWithinPartitions(stratum, "category", "block", "item").mapInPandas(_duel(stratum, False), schema))
     undecided = f"p > {EPS} and p < {1 - EPS}"
     second = first.filter(undecided).repartition(stratum).sortWithinPartitions(stratum, "category", "item").mapInPandas(_duel(stratum, True), schema)
     sample = cut(first.filter(f"not ({undecided})").unionByName(second).filter("p > 0.5").select(stratum, "category", F.col("item").alias(item)))
