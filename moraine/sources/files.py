@@ -52,7 +52,7 @@ def read_doc_dump(spark: SparkSession, path: str) -> DataFrame:
     part = raw.filter(F.col("value").rlike("<doc id="))
     get = lambda i: F.regexp_extract("value", head, i)
     body = F.regexp_replace("value", r'(?s)^.*?<doc id="[^>]*>\r?\n?', "")
-    return part.select(get(1).cast("long").alias("page_id"), get(2).alias("url"), get(3).alias("title"), F.rtrim(body).alias("text"))
+    return part.select(get(1).cast("long").alias("page_id"), get(2).alias("url"), get(3).alias("title"), F.regexp_replace(body, r"\s+$", "").alias("text"))
 
 
 def read_json_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -80,7 +80,7 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
 
 def read_mention_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """mention, entity, p from lines "mention TAB total TAB id,p,entity TAB ..."."""
-    parts = F.split(spark.read.text(path)["value"], "\t")
+    parts = F.split("value", "\t")
     rows = spark.read.text(path).select(F.get(parts, F.lit(0)).alias("mention"), F.explode(F.slice(parts, F.lit(3), F.greatest(F.lit(0), F.size(parts) - 2))).alias("c"))
     cells = F.split("c", ",", 3)
     return rows.filter(F.size(cells) == 3).select("mention", F.get(cells, F.lit(2)).alias("entity"), F.get(cells, F.lit(1)).try_cast("double").alias("p"))
