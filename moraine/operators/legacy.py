@@ -97,3 +97,62 @@ def sentence_neighbours(sentences: DataFrame, doc: str = "doc", pos: str = "pos"
     if quirk:
         before = F.when(F.lag(pos).over(w) > 0, before).otherwise("")
     return sentences.withColumn("previous", before).withColumn("next", F.coalesce(F.lead(text).over(w), F.lit("")))
+
+
+def enrich_mentions(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Mentions (doc, pos, mention, context_left, context_right, gold) with query contexts and sentence triple.
+
+    Rows without a gold id are dropped. Adds query_mention (escaped), contexts of all, the nearest 25
+    and 10 words on either side, and the previous, current and next sentence of (doc, pos), '' where
+    there is none. `sentences`: doc, pos, text, one row per sentence.
+    """
+    from moraine.functions.text import clean_context, first_words, last_words, search_escape
+
+    triple = sentence_neighbours(sentences).select("doc", "pos", "previous", F.col("text").alias("current"), "next")
+    kept = mentions.filter("gold is not null").join(triple, ["doc", "pos"], "left").fillna("", ["previous", "current", "next"])
+    return kept.withColumns(
+        {
+            "query_mention": search_escape("mention"),
+            "left_full": search_escape(clean_context("context_left")), "right_full": search_escape(clean_context("context_right")),
+            "left_25": last_words("context_left", 25), "right_25": first_words("context_right", 25),
+            "left_10": last_words("context_left", 10), "right_10": first_words("context_right", 10),
+        }
+    )
+
+
+def map_labels(rows: DataFrame, local_ids: DataFrame, consider_all: bool = False) -> DataFrame:
+    """label_id of each row's gold wikipedia_id (`gold`) from local_ids (wikipedia_id, local_id).
+
+    An unknown gold drops the row, or with consider_all gets -1. Of repeated wikipedia_ids the
+    smallest local id counts.
+    """
+    held = local_ids.groupBy(F.col("wikipedia_id").alias("gold")).agg(F.min("local_id").alias("label_id"))
+    both = rows.join(held, "gold", "left" if consider_all else "inner")
+    return both.withColumn("label_id", F.coalesce("label_id", F.lit(-1)))
+
+
+def gold_among_candidates(rows: DataFrame, keep_all: bool = False) -> DataFrame:
+    """label: 0-based place of label_id in the array `nns`; rows without it are dropped, or get label 0 with keep_all."""
+    place = F.array_position("nns", F.col("label_id")) - 1
+    placed = rows.withColumn("label", place.cast("int"))
+    return placed.withColumn("label", F.greatest(F.lit(0), "label")) if keep_all else placed.filter("label >= 0")
+
+
+def mention_sentences(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Mentions of each sentence (doc, pos), in order of start, beside the sentence's text."""
+    lists = mentions.groupBy("doc", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "mention"))), lambda s: s["mention"]).alias("mentions"))
+    return sentences.join(lists, ["doc", "pos"], "left").withColumn("mentions", F.coalesce("mentions", F.array().cast("array<string>")))
+
+
+def word_context_vectors(mentions: DataFrame, words_: DataFrame, vectors: DataFrame, window: int = 10, head: int = 50, near: float = 0.6) -> DataFrame:
+    """item, vector: near x mean word vector of the window around a mention + the rest x mean of the document's head.
+
+    mentions: item, doc, at (word number). words_: doc, at, word. vectors: word, vector (array). Words
+    without a vector do not count; a mention without any has no row.
+    """
+    known = words_.join(vectors, "word").select("doc", F.col("at").alias("_at"), F.posexplode("vector").alias("i", "x"))
+    tops = known.filter(F.col("_at") < head).groupBy("doc", "i").agg(F.avg("x").alias("_head"))
+    around = mentions.join(known, "doc").filter(F.abs(F.col("at") - F.col("_at")) <= window).groupBy("item", "doc", "i").agg(F.avg("x").alias("_near"))
+    both = mentions.select("item", "doc").join(tops, "doc").join(around, ["item", "doc", "i"], "full")
+    mixed = both.select("item", "i", (near * F.coalesce("_near", F.lit(0.0)) + (1 - near) * F.coalesce("_head", F.lit(0.0))).alias("x"))
+    return mixed.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
