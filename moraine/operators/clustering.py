@@ -14,6 +14,7 @@ from moraine.functions.text import mention_key, words
 from moraine.functions.vectors import clean_vectors, matrix
 from moraine.operators.blocks import group_pairs
 from moraine.operators.graph import connected_components
+from moraine.operators.ranking import grouped_median
 from moraine.session import cut, shuffle_width
 
 MAX_MENTIONS = 25
@@ -171,18 +172,39 @@ def feature_similarities(items: DataFrame, threshold: float = 0.984375, char_sha
     items: grp, text (mention). score = char_share x cosine of character-bigram counts + the rest x
     cosine of word TF-IDF, idf = ln((1 + n) / (1 + df)) + 1 over the records of the request. Output:
     grp, text_a, text_b, score, text_a < text_b. Equal mentions have score 1 by definition and are one
-    node; a null or empty mention has no terms. Vectors are compared through an equi-join on their
-    terms, and only mentions that share a bigram meet, as others cannot reach a threshold above
-    1 - char_share.
+    node; a null or empty mention has no terms. The threshold must lie above 1 - char_share.
+
+    A score above the threshold needs a bigram cosine above (threshold - 1 + char_share) / char_share.
+    Two unit vectors can only reach that if they share a term outside the tail whose norm is below it,
+    so only the rarest terms of a mention, up to that tail, are joined; the score is then taken over
+    the whole vectors, which are no longer than a mention. No pair is missed.
     """
+    if threshold <= 1 - char_share:
+        raise ValueError("the threshold must lie above 1 - char_share")
+    least = (threshold - 1 + char_share) / char_share
     texts = cut(items.filter("grp is not null and text is not null").groupBy("grp", "text").agg(F.count("*").alias("copies")))
-    chars = _weights(texts, _bigrams(F.col("text")), False).withColumn("kind", F.lit(char_share))
-    word = _weights(texts, words("text"), True).withColumn("kind", F.lit(1 - char_share))
-    terms = cut(chars.select("grp", "text", F.concat(F.lit("c:"), "term").alias("term"), "w", "kind").unionByName(word.select("grp", "text", F.concat(F.lit("w:"), "term").alias("term"), "w", "kind")))
-    other = terms.select("grp", "term", F.col("text").alias("text_b"), F.col("w").alias("_w"))
-    both = terms.join(other, ["grp", "term"]).filter(F.col("text") < F.col("text_b"))
-    score = both.groupBy("grp", F.col("text").alias("text_a"), "text_b").agg(F.sum(F.col("kind") * F.col("w") * F.col("_w")).alias("score"))
-    return score.filter(F.col("score") > threshold)
+    chars = cut(_weights(texts, _bigrams(F.col("text")), False))
+    word = _weights(texts, words("text"), True)
+    held = chars.groupBy("grp", "term").agg(F.count("*").alias("_df"))
+    listed = chars.join(held, ["grp", "term"]).groupBy("grp", "text").agg(F.array_sort(F.collect_list(F.struct("_df", "term", "w"))).alias("c"))
+    spread = word.groupBy("grp", "text").agg(F.collect_list(F.struct("term", "w")).alias("t"))
+    vectors = cut(listed.join(spread, ["grp", "text"], "left"))
+    # squared norm of the terms before each place; a term opens the tail once that exceeds 1 - least^2
+    seen = F.aggregate(F.slice("c", F.lit(1), F.col("pos")), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
+    prefix = vectors.select("grp", "text", "c", F.posexplode("c").alias("pos", "e")).filter(seen <= 1 - least * least + 1e-9)
+    prefix = prefix.select("grp", "text", F.col("e.term").alias("term"))
+    other = prefix.select("grp", "term", F.col("text").alias("text_b"))
+    pairs = prefix.join(other, ["grp", "term"]).filter(F.col("text") < F.col("text_b")).select("grp", F.col("text").alias("text_a"), "text_b").distinct()
+    side = lambda n: vectors.select("grp", F.col("text").alias(f"text_{n}"), F.col("c").alias(f"c_{n}"), F.col("t").alias(f"t_{n}"))
+    both = pairs.join(side("a"), ["grp", "text_a"]).join(side("b"), ["grp", "text_b"])
+    score = char_share * _sparse_dot("c_a", "c_b") + (1 - char_share) * _sparse_dot("t_a", "t_b")
+    return both.select("grp", "text_a", "text_b", score.alias("score")).filter(F.col("score") > threshold)
+
+
+def _sparse_dot(a: str, b: str) -> Column:
+    """Product of two arrays of (term, w), each term once; 0 if either is null."""
+    other = F.map_from_arrays(F.transform(b, lambda x: x["term"]), F.transform(b, lambda x: x["w"]))
+    return F.coalesce(F.aggregate(a, F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at(other, x["term"]), F.lit(0.0))), F.lit(0.0))
 
 
 def mode_titles(rows: DataFrame, cluster: str, mention: str) -> DataFrame:
@@ -203,7 +225,7 @@ def gold_modes(rows: DataFrame, cluster: str, gold: str) -> DataFrame:
 
 def median_vectors(items: DataFrame, key: str = "cluster") -> DataFrame:
     """Element-wise median of array vectors per key: key, median (array<double>)."""
-    parts = items.select(key, F.posexplode("vector").alias("i", "x")).groupBy(key, "i").agg(F.median("x").alias("m"))
+    parts = grouped_median(items.select(key, F.posexplode("vector").alias("i", "x")), [key, "i"], "x", median="m")
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("median"))
 
 

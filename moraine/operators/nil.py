@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.functions.text import multiset_jaccard, word_levenshtein
-from moraine.operators.ranking import hash_uniform
+from moraine.operators.ranking import grouped_median, hash_uniform
 
 THRESHOLD = 0.5
 
@@ -31,10 +31,11 @@ def score_statistics(rows: DataFrame, query: str, score: str) -> DataFrame:
         F.max("_s").alias("max"), F.max(F.when((F.col("_r") == 1) & (F.col("_c") > 1), F.col("_s")).when(F.col("_r") == 2, F.col("_s"))).alias("second")
     )
     main = rows.filter(s.isNotNull()).groupBy(query).agg(
-        F.count("*").alias("n"), F.min(s).alias("min"), F.avg(s).alias("mean"), F.median(s).alias("median"),
+        F.count("*").alias("n"), F.min(s).alias("min"), F.avg(s).alias("mean"),
         F.when(F.count("*") > 1, F.stddev_samp(s)).alias("stdev"),
     )
-    return main.join(second, query).withColumn("secondiff", F.col("max") - F.col("second"))
+    middle = grouped_median(rows, [query], score)
+    return main.join(second, query).join(middle, query).withColumn("secondiff", F.col("max") - F.col("second"))
 
 
 def array_statistics(scores: str | Column) -> dict[str, Column]:

@@ -58,6 +58,25 @@ def rank_of_values(df: DataFrame, groups: Sequence[str], value: str, rank: str =
     return ranked.select(*groups, value, (F.col("_before") + 1).cast("long").alias(rank))
 
 
+def grouped_median(df: DataFrame, groups: Sequence[str], value: str, weight: str | None = None, median: str = "median") -> DataFrame:
+    """Exact (weighted) median of the non-null values of each group: groups, median.
+
+    Values are counted first, then located by running sums over range partitions, so no aggregate has
+    to hold the distinct values of a hot group. Groups without a value have no row.
+    """
+    n = F.count("*") if weight is None else F.sum(weight)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(n.cast("long").alias("_w"))
+    placed = running_weight(counts, groups, [F.col(value)], "_w", "_before")
+    totals = counts.groupBy(*[F.col(g).alias(f"_t{i}") for i, g in enumerate(groups)]).agg(F.sum("_w").alias("_n"))
+    same = F.lit(True)
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_t{i}"))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    holds = lambda at: ((F.col("_before") <= at) & (at < F.col("_before") + F.col("_w"))).cast("int")
+    part = (holds(low) + holds(high)) * F.col(value).cast("double") / 2
+    return placed.join(totals, same).groupBy(*groups).agg(F.sum(part).alias(median))
+
+
 def hash_uniform(seed: int, *keys: Column) -> Column:
     """A reproducible uniform number in [0, 1) from the first eight hex digits of an md5."""
     text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moraine.operators.ranking import grouped_median
+from moraine.session import cut
+
 
 def distinct_records(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """One row per non-null key, with the least row of its columns: repeated deliveries count once.
@@ -30,10 +33,10 @@ def keyed_summary(df: DataFrame, key: str, value: str, flag: str, number: str) -
     (exact, weighted). Rows with a null key form one group. No row: empty output.
 
     First (key, value, flag, number) is counted, which spreads a hot key over all tasks; then the
-    counts meet per (key, value), and only the weighted values of a key meet in the last step, in
-    aggregates whose state is bounded by the number of distinct `number` values.
+    counts meet per (key, value), and the last step per key only adds numbers. The median is located
+    by running sums of the weighted values.
     """
-    cells = compress(df, key, [value, flag, number])
+    cells = cut(compress(df, key, [value, flag, number]))
     # salted by value: one row per (key, value) with partial sums; the weights of `number` are kept beside it
     per_value = (
         cells.groupBy(key, value)
@@ -50,8 +53,7 @@ def keyed_summary(df: DataFrame, key: str, value: str, flag: str, number: str) -
         F.sum("yes").alias("_yes"),
         F.sum("said").alias("_said"),
     )
-    numbers = cells.filter(F.col(number).isNotNull()).groupBy(key, number).agg(F.sum("weight").alias("w"))
-    median = numbers.groupBy(key).agg(F.percentile(number, F.lit(0.5), F.col("w")).alias("number_median")).withColumnRenamed(key, "_key")
+    median = grouped_median(cells, [key], number, "weight", "number_median").withColumnRenamed(key, "_key")
     return head.join(median, F.col(key).eqNullSafe(F.col("_key")), "left").select(
         key,
         "n_records",

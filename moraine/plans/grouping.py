@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from moraine.functions.text import mention_key
 from moraine.operators import blocks, clustering, dataset, kb_etl, metrics
+from moraine.operators.ranking import grouped_median
 from moraine.operators.skew import distinct_records
 from moraine.session import cut, table
 
@@ -67,8 +68,10 @@ def cluster_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Element-wise mean and median of each label, exploded."""
-    parts = _embeddings(spark, sf_dir).select("grp", F.posexplode("vector").alias("i", "x"))
-    return parts.groupBy(F.col("grp").alias("label"), "i").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.median("x"), 6).alias("median"))
+    parts = cut(_embeddings(spark, sf_dir).select("grp", F.posexplode("vector").alias("i", "x")))
+    mean = parts.groupBy("grp", "i").agg(F.round(F.avg("x"), 6).alias("mean"))
+    both = mean.join(grouped_median(parts, ["grp", "i"], "x"), ["grp", "i"])
+    return both.select(F.col("grp").alias("label"), "i", "mean", F.round("median", 6).alias("median"))
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:

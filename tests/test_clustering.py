@@ -92,12 +92,21 @@ def test_feature_similarity_by_hand(spark):
     import math
 
     t = spark.createDataFrame([(1, "ab cd"), (1, "ab ce"), (1, "ab cd"), (1, None), (1, ""), (2, "ab cd")], "grp long, text string")
-    got = [tuple(r) for r in C.feature_similarities(t, 0.1).collect()]
+    got = [tuple(r) for r in C.feature_similarities(t, 0.3).collect()]
     idf = lambda df: math.log(5 / (1 + df)) + 1
     word = idf(3) ** 2 / math.sqrt(idf(3) ** 2 + idf(2) ** 2) / math.sqrt(idf(3) ** 2 + idf(1) ** 2)
     assert [(a, b, c) for a, b, c, _ in got] == [(1, "ab cd", "ab ce")] and got[0][3] == pytest.approx(0.8 * 3 / 4 + 0.2 * word)
 
 
+def test_prefix_join_misses_no_pair(spark):
+    rng = np.random.default_rng(6)
+    names = ["".join(rng.choice(list("abc "), rng.integers(1, 9))) for _ in range(60)]
+    df = spark.createDataFrame([(i % 2, n) for i, n in enumerate(names)], "grp long, text string")
+    wide = {tuple(r)[:3]: r["score"] for r in C.feature_similarities(df, 0.2001).collect()}
+    for bar in (0.5, 0.8, 0.95):
+        assert {tuple(r)[:3] for r in C.feature_similarities(df, bar).collect()} == {k for k, s in wide.items() if s > bar}
+
+
 def test_exact_and_approximate_search(spark, monkeypatch):
     monkeypatch.setattr(blocks, "COLLECTION_BLOCK", 64)
     rng = np.random.default_rng(2)

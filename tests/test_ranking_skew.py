@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from moraine.operators.ranking import hash_uniform, rank_of_values, running_weight
+from moraine.operators.ranking import grouped_median, hash_uniform, rank_of_values, running_weight
 from moraine.operators.skew import distinct_records, keyed_summary
 
 
@@ -49,6 +49,13 @@ def test_keyed_summary_against_python(spark):
     assert keyed_summary(df.limit(0), "k", "v", "f", "n").count() == 0
 
 
+def test_grouped_median(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, 1.0, 2.5, 7.0, 9.0])) for _ in range(301)] + [("c", 4.0), ("d", None)]
+    got = {r["g"]: r["median"] for r in grouped_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    assert got == {g: statistics.median(v for h, v in rows if h == g and v is not None) for g in ("a", "b", None, "c")}
+
+
 def test_distinct_records(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (None, "z"), (2, None)], "k int, v string")
     assert {tuple(r) for r in distinct_records(df, "k", "v").collect()} == {(1, None), (2, None)}
