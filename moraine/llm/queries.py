@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import clusters, fusion, mixing, quality, sampling, search, splits, tokens
 from moraine.functions.vectors import from_base64
+from moraine.llm import clusters, fusion, mixing, quality, sampling, search, splits, tokens
 from moraine.session import table
 
 SCORES = ("max_bi", "max_cross", "jaccard", "levenshtein")
@@ -136,7 +136,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_statistics(spark, sf_dir).filter("is_prose = false").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_clusters, p1_members, p1_found, p2_neighbours, p2_found, p8_ids, p9_mix, p9_report, p9_found, p10_statistics, p10_found, p3_ranking, p3_found, p4_sample, p4_report, p4_found, p6_splits, p6_report, p6_found)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_clusters, p1_members, p1_found, p2_neighbours, p2_found, p3_ranking, p3_found, p4_sample, p4_report, p4_found,
+        p6_splits, p6_report, p6_found, p8_ids, p9_mix, p9_report, p9_found, p10_statistics, p10_found,
+    )
+}
 
 _FUSED = """
 i AS (SELECT query_id, feature_id, max(max_bi) AS a, max(max_cross) AS b, max(jaccard) AS c, max(levenshtein) AS d
