@@ -25,6 +25,7 @@ COMMON = {
 }
 ALL_COMMON = frozenset(w for words in COMMON.values() for w in words.split())
 LETTERS_OF_COMMON = frozenset("".join(sorted(w)) for w in ALL_COMMON if len(w) >= 2)
+LONGEST_COMMON = max(map(len, LETTERS_OF_COMMON))
 
 WORD = regex.compile(r"\p{L}+")
 INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}]+")
@@ -77,17 +78,19 @@ def _ngram_coverage(words: list[str]) -> tuple[float, float]:
     top = 0
     for n in (2, 3, 4):
         grams = Counter(zip(*(words[i:] for i in range(n)), strict=False))
-        gram, count = max(grams.items(), key=lambda g: (g[1] * sum(map(len, g[0])), g[0]))
-        if count > 1:
-            top = max(top, count * sum(map(len, gram)))
-    covered = [False] * len(words)
-    seen: set[int] = set()
-    for i in range(len(words) - 9):
-        h = hash(tuple(words[i : i + 10]))
-        if h in seen:
-            covered[i : i + 10] = [True] * 10
-        seen.add(h)
-    return min(1.0, top / total), sum(len(w) for w, c in zip(words, covered, strict=True) if c) / total
+        if len(grams) < len(words) - n + 1:  # else none is repeated
+            top = max(top, max(c * sum(map(len, g)) for g, c in grams.items() if c > 1))
+    tens = list(zip(*(words[i:] for i in range(10)), strict=False))
+    again = 0
+    if len(set(tens)) < len(tens):
+        seen: set[tuple[str, ...]] = set()
+        covered = [False] * len(words)
+        for i, ten in enumerate(tens):
+            if ten in seen:
+                covered[i : i + 10] = [True] * 10
+            seen.add(ten)
+        again = sum(len(w) for w, c in zip(words, covered, strict=True) if c)
+    return min(1.0, top / total), again / total
 
 
 def describe(text: str | None) -> tuple:
@@ -106,7 +109,7 @@ def describe(text: str | None) -> tuple:
         for w in words:
             if w in ALL_COMMON:
                 c += 1
-            elif len(w) < 9 and "".join(sorted(w)) in LETTERS_OF_COMMON:
+            elif len(w) <= LONGEST_COMMON and "".join(sorted(w)) in LETTERS_OF_COMMON:
                 s += 1
         good.append(c)
         bad.append(s)
@@ -116,18 +119,20 @@ def describe(text: str | None) -> tuple:
     bullets = [BULLET.match(x) is not None for x in lines]
     prose = 0
     for i in range(n):
-        near = range(i, i + 1) if count[i] >= ENOUGH_WORDS else range(max(0, i - 1), min(n, i + 2))
-        k, c, s, b, one = (sum(x[j] for j in near) for x in (count, good, bad, broken, single))
-        if not count[i] or not k:
+        if not count[i]:
             continue
+        if count[i] >= ENOUGH_WORDS or n == 1:
+            k, c, s, b, one = count[i], good[i], bad[i], broken[i], single[i]
+        else:
+            k, c, s, b, one = (sum(x[max(0, i - 1) : i + 2]) for x in (count, good, bad, broken, single))
         own = sum(map(len, words_of[i])) / max(1, size[i])  # letters against visible characters
         if own < 0.55 or one > k / 2 or (c - 1.5 * s - b) / k < COMMON_SHARE or (count[i] >= 6 and good[i] == 0):
             continue
         prose += size[i]
     words = [w for x in words_of for w in x]
     letters = sum(map(len, words))
-    digits = sum(ch.isdigit() for ch in text)
-    upper = sum(ch.isupper() for ch in text)
+    digits = sum(map(str.isdigit, text))
+    upper = sum(map(str.isupper, text))
     paragraphs = [" ".join(p.split()) for p in PARAGRAPH_BREAK.split(text) if p.strip()]
     top, repeated = _ngram_coverage(words)
     dup_lines = _duplicate_share([" ".join(x.split()) for x in plain])
