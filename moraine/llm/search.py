@@ -89,6 +89,8 @@ class ScanIndex:
         affinity = turned @ self.centres.T
         reach = affinity + np.outer(norms, self.radii)
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64))
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
 
         def need(j: int, q: np.ndarray) -> np.ndarray:
             return (side[j, q] + self.shares[j] * bar[q]).astype(np.float32)
@@ -98,7 +100,6 @@ class ScanIndex:
             a, e = self.tiles[t]
             who = np.flatnonzero(reach[:, t] >= bar)
             so_far = np.zeros((len(who), e - a), np.float32)
-            fresh: list[tuple[np.ndarray, np.ndarray]] = []
             for j, block in enumerate(blocks):
                 if not len(who):
                     break
@@ -121,14 +122,21 @@ class ScanIndex:
                                 break
                         if len(qq):
                             fresh.append((qq, xx))
+                            waiting += len(qq)
                 who, so_far = who[dense], so_far[dense]
-            for qq, xx in fresh:
-                exact = (wide[qq] * self.rows[xx].astype(np.float64)).sum(1)
-                best = self._keep(np.append(best[0], qq), np.append(best[1], xx), np.append(best[2], exact), k, bar, slack)
-        return best
-
-    def _keep(self, q: np.ndarray, x: np.ndarray, s: np.ndarray, k: np.ndarray, bar: np.ndarray, slack: np.ndarray):
-        """The k best of each query so far; raises the bars."""
+            if waiting >= 256:
+                best, fresh, waiting = self._keep(best, fresh, wide, k, bar, slack), [], 0
+        return self._keep(best, fresh, wide, k, bar, slack) if fresh else best
+
+    def _keep(self, best: tuple, fresh: list[tuple[np.ndarray, np.ndarray]], wide: np.ndarray, k: np.ndarray, bar: np.ndarray, slack: np.ndarray):
+        """The k best of each query so far, with the exact products of the fresh pairs; raises the bars."""
+        q, x = (np.concatenate(part) for part in zip(*fresh, strict=True))
+        s = np.concatenate([(wide[a] * self.rows[b].astype(np.float64)).sum(1) for a, b in fresh])
+        touched = np.zeros(len(wide), bool)
+        touched[q] = True
+        mine = touched[best[0]]  # only these queries are sorted again
+        rest = [part[~mine] for part in best]
+        q, x, s = np.append(best[0][mine], q), np.append(best[1][mine], x), np.append(best[2][mine], s)
         order = np.lexsort((self.ids[x], self.spaces[x], -s, q))
         q, x, s = q[order], x[order], s[order]
         starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
@@ -136,7 +144,7 @@ class ScanIndex:
         last = place == k[q] - 1
         bar[q[last]] = np.maximum(bar[q[last]], s[last] - slack[q[last]])
         keep = place < k[q]
-        return q[keep], x[keep], s[keep]
+        return tuple(np.append(a, b[keep]) for a, b in zip(rest, (q, x, s), strict=True))
 
 
 def most_similar(
