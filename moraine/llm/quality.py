@@ -1,4 +1,4 @@
-"""Per-document text statistics, and the rules that tell prose from lists, tables and junk."""
+"""Per-document text statistics, and the rules that tell prose from lists, tables, boilerplate and junk."""
 
 from __future__ import annotations
 
@@ -34,6 +34,10 @@ END_MARK = regex.compile(r"[.!?…:;]['\"”’»)\]]*\s*$")
 BROKEN_CASE = regex.compile(r"\p{Ll}\p{Lu}")
 LINE_BREAK = regex.compile(r"\r\n|[\n\r\v\f\x85  ]")
 PARAGRAPH_BREAK = regex.compile(r"\n\s*\n")
+SENTENCE_END = regex.compile(r"[.!?…][\])'\"”’»]*(?=\s|$)")
+BAR = regex.compile(r"\s*\|\s*|\s+[•·›→]\s+|\t+")
+ARROW = regex.compile(r"\s+»\s+")
+DASH = regex.compile(r"\s+[-–—/]\s+")
 TABLE_MARK = regex.compile(r"[|\t{}<>\[\]=;]|\.{4,}|\s{3,}|(?:[^,\s]+,){3}")
 
 #: at least this share of common words makes a passage read as sentences
@@ -44,6 +48,14 @@ ENOUGH_WORDS = 12
 PROSE_SHARE = 0.5
 #: a text whose repeats cover more than this is junk whatever it says
 REPEAT_SHARE = 0.6
+#: a text is boilerplate if more than this share of it is lines or paragraphs that it has said before
+DUPLICATE_SHARE = 0.5
+#: repeated 10-grams count against a text that has fewer sentence ends than one in so many words
+LONG_SENTENCE = 40
+#: cells between separators, and bulleted items, of at most so many words and without a sentence end are no sentences
+CELL_WORDS, ITEM_WORDS = 4, 7
+#: dashes and slashes also part clauses and lines of verse, so their cells have to be shorter
+DASH_WORDS = 2
 
 STATS = [
     ("n_chars", "long"), ("n_words", "long"), ("n_lines", "long"), ("mean_word_length", "double"), ("symbol_ratio", "double"),
@@ -93,6 +105,29 @@ def _ngram_coverage(words: list[str]) -> tuple[float, float]:
     return min(1.0, top / total), again / total
 
 
+def _separated(line: str) -> bool:
+    """Whether most of a line is short cells between separators, as in menus, paths of pages and rows of tables."""
+    for mark, least, most in ((BAR, 2, CELL_WORDS), (ARROW, 2, CELL_WORDS), (DASH, 3, DASH_WORDS)):
+        if mark is ARROW and "«" in line:  # quotation marks
+            continue
+        cells = mark.split(line)
+        if len(cells) <= least:
+            continue
+        short = sum(len(c) for c in cells if len(WORD.findall(c)) <= most and not (SENTENCE_END.search(c) and " " in c.strip()))
+        if short > sum(map(len, cells)) / 2:
+            return True
+    return False
+
+
+def _listed(lines: list[str], plain: list[str], bullets: list[bool], count: list[int]) -> tuple[list[bool], list[bool]]:
+    """Lines of short cells between separators, and short bulleted items without a sentence end beside another such item."""
+    cells = [_separated(x) for x in lines]
+    # invisible characters and accents would cut a word in two
+    items = [b and c <= ITEM_WORDS and END_MARK.search(x) is None for b, c, x in zip(bullets, count, plain, strict=True)]
+    n = len(lines)
+    return cells, [items[i] and (i > 0 and items[i - 1] or i + 1 < n and items[i + 1]) for i in range(n)]
+
+
 def describe(text: str | None) -> tuple:
     """The values of STATS for one text; for a null or blank text zeros, is_prose null and kind 'empty'."""
     if text is None or not text.strip():
@@ -117,6 +152,12 @@ def describe(text: str | None) -> tuple:
         single.append(sum(len(w) == 1 for w in words))
         broken.append(len(BROKEN_CASE.findall(line)))
     bullets = [BULLET.match(x) is not None for x in lines]
+    words = [w for x in words_of for w in x]
+    common, odd = sum(good), sum(bad) + sum(broken)
+    cells, items = _listed(lines, plain, bullets, count)
+    for i in range(n):
+        if cells[i] or items[i]:  # no passage of sentences, nor part of its neighbours'
+            good[i] = bad[i] = broken[i] = single[i] = count[i] = 0
     prose = 0
     for i in range(n):
         if not count[i]:
@@ -129,7 +170,6 @@ def describe(text: str | None) -> tuple:
         if own < 0.55 or one > k / 2 or (c - 1.5 * s - b) / k < COMMON_SHARE or (count[i] >= 6 and good[i] == 0):
             continue
         prose += size[i]
-    words = [w for x in words_of for w in x]
     letters = sum(map(len, words))
     digits = sum(map(str.isdigit, text))
     upper = sum(map(str.isupper, text))
@@ -138,9 +178,16 @@ def describe(text: str | None) -> tuple:
     dup_lines = _duplicate_share([" ".join(x.split()) for x in plain])
     dup_paragraphs = _duplicate_share(paragraphs)
     share = prose / visible if visible else 0.0
-    is_prose = share >= PROSE_SHARE and top <= REPEAT_SHARE
+    again = dup_lines > DUPLICATE_SHARE or dup_paragraphs > DUPLICATE_SHARE
+    if not again and repeated > REPEAT_SHARE:
+        again = len(SENTENCE_END.findall(text)) * LONG_SENTENCE < len(words)
+    is_prose = share >= PROSE_SHARE and top <= REPEAT_SHARE and not again
+    # a row of a table begins with its mark or holds numbers
+    menus = sum(z for x, z, c in zip(lines, size, cells, strict=True) if c and x.strip()[0] != "|" and sum(map(str.isdigit, x)) < 0.1 * z)
     if is_prose:
         kind = "prose"
+    elif menus > visible / 2 or again and share >= PROSE_SHARE:
+        kind = "boilerplate"
     elif sum(bullets) > n / 2:
         kind = "list"
     elif sum(bool(TABLE_MARK.search(x)) for x in lines) > n / 2:
@@ -150,7 +197,7 @@ def describe(text: str | None) -> tuple:
     return (
         len(text), len(words), n, letters / len(words) if words else 0.0, max(0.0, 1 - (letters + digits) / max(1, visible)),
         digits / max(1, visible), upper / max(1, letters), sum(END_MARK.search(x) is not None for x in lines) / n, sum(bullets) / n,
-        sum(good) / max(1, len(words)), (sum(bad) + sum(broken)) / max(1, len(words)), dup_lines, dup_paragraphs, top, repeated, share, is_prose, kind,
+        common / max(1, len(words)), odd / max(1, len(words)), dup_lines, dup_paragraphs, top, repeated, share, is_prose, kind,
     )
 
 
@@ -158,8 +205,11 @@ def text_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     """Statistics of every row: key and the columns of STATS; other columns are ignored.
 
     A row is judged by itself over its whole text, without a shuffle. is_prose is false when more
-    than half of the visible characters stand outside passages of sentences, or when one short word
-    group covers most of the words. Passages are lines, short ones judged with their neighbours, so
+    than half of the visible characters stand outside passages of sentences, when one short word
+    group covers most of the words, when more than half of the text is lines or paragraphs said
+    before, or when repeated 10-grams cover most of a text that hardly has sentence ends. Lines of
+    short cells between separators and rows of short bulleted items without sentence ends are no
+    passages. Else passages are lines, short ones judged with their neighbours, so
     wrapped prose holds together; the share of common words, less broken case and rearranged common
     words, decides, in capitals or small letters, with or without marks and accents.
     """

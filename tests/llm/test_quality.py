@@ -74,3 +74,35 @@ def test_table_of_odd_rows(spark):
     by = {r["doc_id"]: r for r in got}
     assert [by[i]["is_prose"] for i in (1, 2, 3, 4, 5)] == [None, None, None, True, False] and by[1]["kind"] == "empty"
     assert text_statistics(df.limit(0), "doc_id", "text").count() == 0
+
+
+BOILERPLATE = {
+    "menu": "Print | Talk | Log in | History | Log in | Help | Random page | Log in | Top | Next » | Log in | Menu",
+    "bars": "Menu | Log in | Log in | « Previous | History | Random page | Print | Log in | Print | Top | Log in | Help",
+    "path": "Home » The shop » In stock » All of it » For the home » On sale » About us",
+    "dots": "About us · Log in · Terms of use · By the way · For you · In the news",
+    "dashes": "Home - Log in - For you - About us - Help - The shop - The news",
+    "footer": "All of the rights to this site are with the owner\nPlease log in to see more of the page\n" * 6,
+    "paragraphs": "\n\n".join([PROSE["en"][:60] + "\n" + PROSE["en"][60:]] * 4),
+    "run on": " ".join(["more of this in the shop and on the page that you have seen before with us"] * 8),
+}
+
+
+@pytest.mark.parametrize("kind", BOILERPLATE)
+def test_boilerplate(kind):
+    got = stat(BOILERPLATE[kind])
+    assert got["is_prose"] is False and got["kind"] == "boilerplate"
+
+
+def test_bulleted_items_are_a_list():
+    items = "\n".join(f"- {x}" for x in ("Terms of use", "About the site", "Log in to the forum", "The news of the day"))
+    assert (stat(items)["is_prose"], stat(items)["kind"]) == (False, "list")
+    assert stat("\n".join(f"– {PROSE[k]}" for k in ("en", "de")))["is_prose"] is True
+    assert stat(PROSE["en"] + "\n" + BOILERPLATE["menu"][:60])["is_prose"] is True
+    assert stat("The old man walked along the river.\n" + BOILERPLATE["menu"])["is_prose"] is False
+
+
+def test_marks_inside_prose():
+    assert stat("« Il est là » dit la mère, et puis » elle a ri » avec les autres » dans la maison.")["is_prose"] is True
+    assert stat("He came - as they said - in the night - and then he left - with nobody who saw him.")["is_prose"] is True
+    assert stat("The moon is out / and we are here / with all the rest / of the year")["is_prose"] is True
