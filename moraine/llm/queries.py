@@ -15,6 +15,7 @@ SCORES = ("max_bi", "max_cross", "jaccard", "levenshtein")
 DIM = 128
 SAME = 0.8
 NEAR = 0.7
+MAX_SPLITS = 100
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    shares = [(r["split_name"], r["target_share"]) for r in table(spark, sf_dir, "split_targets").orderBy("split_name").limit(100).collect()]
+    shares = [(r["split_name"], r["target_share"]) for r in table(spark, sf_dir, "split_targets").orderBy("split_name").limit(MAX_SPLITS + 1).collect()]
+    if len(shares) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits")
     m = table(spark, sf_dir, "mentions", "ex_id", "wikiid", "word", "nil")
     m = m.withColumn("wikiid", F.when(F.col("wikiid") != -1, F.col("wikiid")))
     return splits.leakage_free_splits(m, "ex_id", "wikiid", "word", "nil", shares)

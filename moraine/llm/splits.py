@@ -15,6 +15,7 @@ from moraine.operators.ranking import hash_uniform, running_weight
 from moraine.session import cut
 
 MAX_LARGE_GROUPS = 2000
+MAX_CLASSES = 2000
 
 
 def normal_word(text: str | None) -> str | None:
@@ -122,7 +123,7 @@ def leakage_free_splits(
     keys that share words with others. report: split, class, records, share of the class, target.
     Items with equal key or equal normal word, directly or through others, share a group. A null key
     or a null or blank word links nothing; a record with neither is a group of its own. Repeated rows
-    of an item count once. Empty input: empty outputs.
+    of an item count once. More than MAX_CLASSES labels are an error. Empty input: empty outputs.
     """
     one = df.filter(F.col(item).isNotNull()).groupBy(F.col(item).alias("item")).agg(
         F.min(F.struct(F.col(key).alias("k"), F.col(word).alias("w"), F.col(label).alias("l"))).alias("r")
@@ -149,7 +150,9 @@ def leakage_free_splits(
             F.coalesce(F.col("label").cast("string"), F.lit("none")).alias("class"),
         )
     )
-    classes = sorted(r["class"] for r in records.select("class").distinct().limit(MAX_LARGE_GROUPS).collect())
+    classes = sorted(r["class"] for r in records.select("class").distinct().limit(MAX_CLASSES + 1).collect())
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     if not classes:
         classes = ["none"]
     weights = records.groupBy("grp").agg(*[F.sum((F.col("class") == c).cast("long")).alias(f"n{i}") for i, c in enumerate(classes)])

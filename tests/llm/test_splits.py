@@ -3,6 +3,9 @@ from __future__ import annotations
 import random
 import unicodedata
 
+import pytest
+
+from moraine.llm import queries, splits
 from moraine.llm.splits import leakage_free_splits, linked_keys, linked_pairs, normal_word
 
 SHARES = [("train", 0.8), ("dev", 0.1), ("test", 0.1)]
@@ -72,6 +75,23 @@ def test_shares_and_labels_are_close(spark):
     assert all(abs(r["share"] - r["target_share"]) < 0.02 for r in report.collect())
 
 
+def test_too_many_classes_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MAX_CLASSES", 2, raising=False)
+    monkeypatch.setattr(splits, "MAX_LARGE_GROUPS", 2)
+    rows = [(i, i, f"s{i}", (True, False, None)[i % 3], "") for i in range(9)]
+    with pytest.raises(ValueError, match="more than 2 classes"):
+        leakage_free_splits(spark.createDataFrame(rows, SCHEMA), "ex_id", "k", "w", "nil", SHARES)
+    _, _, report = leakage_free_splits(spark.createDataFrame(rows, SCHEMA).filter("nil is not null"), "ex_id", "k", "w", "nil", SHARES)
+    assert sum(r["records"] for r in report.collect()) == 6
+
+
+def test_too_many_splits_are_an_error(spark, tmp_path):
+    spark.createDataFrame([(f"s{i}", 0.01) for i in range(101)], "split_name string, target_share double").write.parquet(f"{tmp_path}/split_targets.parquet")
+    spark.createDataFrame([(1, 2, "w", True)], "ex_id long, wikiid long, word string, nil boolean").write.parquet(f"{tmp_path}/mentions.parquet")
+    with pytest.raises(ValueError, match="more than 100 splits"):
+        queries.p6_splits(spark, str(tmp_path))
+
+
 def test_no_records(spark):
     a, links, report = leakage_free_splits(spark.createDataFrame([], SCHEMA), "ex_id", "k", "w", "nil", SHARES)
     assert a.count() == links.count() == report.count() == 0
