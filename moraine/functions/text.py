@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: the characters a search-engine query must escape, and the tags of encoded texts
-SEARCH_SPECIALS = r'([+\-&|!(){}\[\]^"~*?:\\/])'
+SEARCH_SPECIALS = r'([+\-&|!(){}\[\]^"~*?:/])'
 START_TAG, END_TAG, TITLE_TAG = "[CLS]", "[SEP]", "[unused2]"
 NO_CONTEXT = "EMPTYCTXT"
 
@@ -26,7 +26,7 @@ def word_letters(own: Column, vocabulary: Column) -> Column:
 def word_levenshtein(a: str | Column, b: str | Column) -> Column:
     """1 - word edit distance / words of the longer text, lower-cased; 1 if both are empty.
 
-    Words become characters; `char` yields 256 of them, so texts with more than 200 distinct words
+    Words become characters; `char` yields 256 of them, so texts with more than 90 distinct words
     together take the array form (an edit-distance row folded over the words).
     """
     x, y = words(a), words(b)
@@ -91,10 +91,12 @@ def mention_key(mention: str | Column) -> Column:
 
 
 def search_escape(text: str | Column) -> Column:
-    """Text for a search-engine query: bare OR and AND in lower case, special characters escaped."""
+    """Text for a search-engine query: OR and AND between white space or text ends in lower case, special
+    characters escaped. A character that follows a backslash counts as escaped, and a backslash stays as it is."""
     text = F.col(text) if isinstance(text, str) else text
-    lowered = F.regexp_replace(F.regexp_replace(text, r"\bOR\b", "or"), r"\bAND\b", "and")
-    return F.regexp_replace(lowered, SEARCH_SPECIALS, r"\\$1")
+    for word in ("OR", "AND"):
+        text = F.regexp_replace(text, rf"(?<!\S){word}(?!\S)", word.lower())
+    return F.regexp_replace(text, r"(?<!\\)" + SEARCH_SPECIALS, r"\\$1")
 
 
 def clean_context(text: str | Column) -> Column:

@@ -78,6 +78,20 @@ def clean_vectors(df: DataFrame, vector: str, dim: int, unit: bool = False) -> D
     return df.select(*others, vector).mapInArrow(run, schema)
 
 
+def to_arrays(df: DataFrame, vector: str, dim: int) -> DataFrame:
+    """The binary column `vector` as array<float>; other columns are kept."""
+    kinds = dict(df.dtypes)
+    others = [c for c in df.columns if c != vector]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = matrix(batch.column(batch.num_columns - 1), dim)
+            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))], [*others, vector])
+
+    return df.select(*others, vector).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in others) + f", {vector} array<float>")
+
+
 def rotation(dim: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))

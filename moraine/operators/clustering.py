@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.functions.text import mention_key, words
-from moraine.functions.vectors import clean_vectors, matrix
+from moraine.functions.vectors import clean_vectors, matrix, to_base64
 from moraine.operators.blocks import group_pairs
-from moraine.operators.graph import connected_components
-from moraine.operators.ranking import grouped_median
+from moraine.operators.graph import climb, connected_components
+from moraine.operators.ranking import grouped_median, hash_uniform, running_max, running_weight
 from moraine.session import cut, shuffle_width
 
 MAX_MENTIONS = 25
@@ -118,36 +118,46 @@ def break_oversized(clusters: DataFrame, cluster: str, item: str, mention: str,
     return both.select(item, cluster, F.when(F.col("_n").isNotNull(), mention_key(mention)).alias("part"))
 
 
-def greedy_labels(order: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels of the sequential rule over one component: each item in order gives its label to all it is linked to."""
-    n = len(order)
-    label = np.arange(n)
-    starts = np.searchsorted(a, np.arange(n + 1))
-    for i in range(n):
-        label[b[starts[i] : starts[i + 1]]] = label[i]
-    return label
-
-
 def greedy_clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """Greedy nearest-neighbour clustering: item, cluster (an item whose label it is).
 
-    items: item (its order is the input order). pairs: a, b with a score above the threshold. The
-    rule is sequential, but labels only travel along links, so each connected component is folded on
-    its own, in one task per component, from its links sorted by item; a component is the request's
-    own size at most. Items without a link keep their label.
+    items: item (its order is the input order). pairs: a, b with a score above the threshold. The rule
+    is sequential: each item in order gives its label to all it is linked to. At its turn an item holds
+    the label that its largest smaller neighbour had at its own turn, and in the end the label of its
+    largest neighbour. So labels are the ends of pointer chains, found by doubling, and no task holds a
+    component. Items without a link keep their label.
     """
-    comps = cut(connected_components(pairs.select("a", "b")))
-    edges = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
-    edges = edges.join(comps.withColumnRenamed("node", "a"), "a").select("comp", "a", "b")
+    links = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    near = links.groupBy(F.col("e.a").alias("item")).agg(F.max(F.when(F.col("e.b") < F.col("e.a"), F.col("e.b"))).alias("ptr"), F.max("e.b").alias("top"))
+    return follow_labels(items, near)
+
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["a", "b"])
-        order = np.unique(frame["a"].to_numpy())
-        label = greedy_labels(order, np.searchsorted(order, frame["a"].to_numpy()), np.searchsorted(order, frame["b"].to_numpy()))
-        return pd.DataFrame({"item": order, "cluster": order[label]})
+def follow_labels(items: DataFrame, near: DataFrame) -> DataFrame:
+    """item, cluster from near (item, ptr: its largest smaller neighbour, top: its largest neighbour, itself aside)."""
+    near = cut(near)
+    turn, _ = climb(near.select(F.col("item").alias("node"), "ptr"))
+    turn = turn.select("node", "far")
+    last = near.select("item", F.greatest("top", "item").alias("node")).join(turn, "node").select("item", F.col("far").alias("cluster"))
+    return items.select("item").distinct().join(last, "item", "left").select("item", F.coalesce("cluster", "item").alias("cluster"))
 
-    done = edges.groupBy("comp").applyInPandas(fold, "item long, cluster long")
-    return items.select("item").distinct().join(done, "item", "left").select("item", F.coalesce("cluster", "item").alias("cluster"))
+
+def three_step_clusters(items: DataFrame, dim: int, semantic: float = 0.036, merge: float = 0.05, gate: float = 80.0, limit: int = MAX_MENTIONS) -> DataFrame:
+    """String, semantic and centroid clustering and the break of oversized clusters, in one: item, cluster.
+
+    items: grp (request, long), item (long, unique), mention, vector. cluster is the smallest item of a
+    cluster. Mentions of one key form a group, a group falls into components at cosine distance below
+    `semantic`, components of a request whose means lie closer than `merge` join behind the gate, and a
+    cluster of more than `limit` distinct lower-cased mentions is split by mention key. Items without a
+    usable vector are alone in the second step; a null grp or item takes no part.
+    """
+    one = items.filter("grp is not null and item is not null").withColumn("key", mention_key("mention"))
+    heads = one.groupBy(F.col("grp").alias("_g"), F.col("key").alias("_k")).agg(F.min("item").alias("string"))
+    held = cut(one.join(heads, (F.col("grp") == F.col("_g")) & F.col("key").eqNullSafe(F.col("_k"))).select("grp", "item", "mention", "vector", "string"))
+    comps = semantic_subclusters(held.select(F.col("string").alias("grp"), "item", "vector"), dim, semantic)
+    merged = centroid_merge(held.select("grp", "item", "vector").join(comps, "item"), dim, merge, gate)
+    parts = cut(break_oversized(merged.join(held.select("item", "mention"), "item"), "cluster", "item", "mention", limit))
+    names = parts.groupBy(F.col("cluster").alias("_c"), F.col("part").alias("_p")).agg(F.min("item").alias("name"))
+    return parts.join(names, (F.col("cluster") == F.col("_c")) & F.col("part").eqNullSafe(F.col("_p"))).select("item", F.col("name").alias("cluster"))
 
 
 def _bigrams(text: Column) -> Column:
@@ -167,38 +177,104 @@ def _weights(texts: DataFrame, terms: Column, idf: bool) -> DataFrame:
 
 
 def feature_similarities(items: DataFrame, threshold: float = 0.984375, char_share: float = 0.8) -> DataFrame:
-    """Pairs of different mentions of a request with mixed text similarity above the threshold.
+    """Pairs of different (text, context) of a request with mixed text similarity above the threshold.
 
-    items: grp, text (mention). score = char_share x cosine of character-bigram counts + the rest x
-    cosine of word TF-IDF, idf = ln((1 + n) / (1 + df)) + 1 over the records of the request. Output:
-    grp, text_a, text_b, score, text_a < text_b. Equal mentions have score 1 by definition and are one
-    node; a null or empty mention has no terms. The threshold must lie above 1 - char_share.
+    items: grp, text (mention) [, context; without it the mention is its own context]. score =
+    char_share x cosine of character-bigram counts of the texts + the rest x cosine of word TF-IDF of
+    the contexts, idf = ln((1 + n) / (1 + df)) + 1 over the records of the request. Output: grp,
+    text_a, text_b, score, and context_a, context_b if given, the smaller (text, context) first. Equal
+    ones have score 1 by definition and are one node; a null or empty text has no terms. The threshold
+    must lie above 1 - char_share.
 
     A score above the threshold needs a bigram cosine above (threshold - 1 + char_share) / char_share.
     Two unit vectors can only reach that if they share a term outside the tail whose norm is below it,
-    so only the rarest terms of a mention, up to that tail, are joined; the score is then taken over
-    the whole vectors, which are no longer than a mention. No pair is missed.
+    so only the rarest terms of a mention, up to that tail, are joined; with contexts and a threshold
+    above char_share, pairs of such a term and one of the context, by the same rule. The score is then
+    taken over the whole vectors. No pair is missed.
     """
     if threshold <= 1 - char_share:
         raise ValueError("the threshold must lie above 1 - char_share")
-    least = (threshold - 1 + char_share) / char_share
-    texts = cut(items.filter("grp is not null and text is not null").groupBy("grp", "text").agg(F.count("*").alias("copies")))
+    context = "context" in items.columns
+    held = items.filter("grp is not null and text is not null")
+    held = held.select("grp", "text", F.coalesce("context", F.lit("")).alias("context") if context else F.lit("").alias("context"))
+    nodes = cut(held.groupBy("grp", "text", "context").agg(F.count("*").alias("copies")))
+    texts = nodes.groupBy("grp", "text").agg(F.sum("copies").alias("copies"))
     chars = cut(_weights(texts, _bigrams(F.col("text")), False))
-    word = _weights(texts, words("text"), True)
-    held = chars.groupBy("grp", "term").agg(F.count("*").alias("_df"))
-    listed = chars.join(held, ["grp", "term"]).groupBy("grp", "text").agg(F.array_sort(F.collect_list(F.struct("_df", "term", "w"))).alias("c"))
-    spread = word.groupBy("grp", "text").agg(F.collect_list(F.struct("term", "w")).alias("t"))
-    vectors = cut(listed.join(spread, ["grp", "text"], "left"))
-    # squared norm of the terms before each place; a term opens the tail once that exceeds 1 - least^2
-    seen = F.aggregate(F.slice("c", F.lit(1), F.col("pos")), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-    prefix = vectors.select("grp", "text", "c", F.posexplode("c").alias("pos", "e")).filter(seen <= 1 - least * least + 1e-9)
-    prefix = prefix.select("grp", "text", F.col("e.term").alias("term"))
-    other = prefix.select("grp", "term", F.col("text").alias("text_b"))
-    pairs = prefix.join(other, ["grp", "term"]).filter(F.col("text") < F.col("text_b")).select("grp", F.col("text").alias("text_a"), "text_b").distinct()
-    side = lambda n: vectors.select("grp", F.col("text").alias(f"text_{n}"), F.col("c").alias(f"c_{n}"), F.col("t").alias(f"t_{n}"))
-    both = pairs.join(side("a"), ["grp", "text_a"]).join(side("b"), ["grp", "text_b"])
+    source = nodes.groupBy("grp", F.col("context").alias("text")).agg(F.sum("copies").alias("copies")) if context else texts
+    word = cut(_weights(source, words("text"), True))
+    by_context = context and threshold > char_share
+    listed = _by_rarity(chars).withColumnRenamed("l", "c")
+    spread = _by_rarity(word).select("grp", F.col("text").alias("_of"), F.col("l").alias("t"))
+    vectors = nodes.join(listed, ["grp", "text"]).withColumn("_of", F.col("context") if context else F.col("text"))
+    vectors = cut(vectors.join(spread, ["grp", "_of"], "inner" if by_context else "left").select("grp", "text", "context", "c", "t"))
+    prefix = _prefix(vectors, "c", "cterm", (threshold - 1 + char_share) / char_share)
+    if by_context:
+        prefix = _prefix(prefix, "t", "tterm", (threshold - char_share) / (1 - char_share))
+    prefix = prefix.select("grp", "text", "context", F.col("cterm").alias("term") if not by_context else F.struct("cterm", "tterm").alias("term"))
+    other = prefix.select("grp", "term", F.col("text").alias("text_b"), F.col("context").alias("context_b"))
+    before = (F.col("text") < F.col("text_b")) | ((F.col("text") == F.col("text_b")) & (F.col("context") < F.col("context_b")))
+    pairs = prefix.join(other, ["grp", "term"]).filter(before).select("grp", F.col("text").alias("text_a"), F.col("context").alias("context_a"), "text_b", "context_b").distinct()
+    side = lambda n: vectors.select("grp", *[F.col(c).alias(f"{c}_{n}") for c in ("text", "context", "c", "t")])
+    both = pairs.join(side("a"), ["grp", "text_a", "context_a"]).join(side("b"), ["grp", "text_b", "context_b"])
     score = char_share * _sparse_dot("c_a", "c_b") + (1 - char_share) * _sparse_dot("t_a", "t_b")
-    return both.select("grp", "text_a", "text_b", score.alias("score")).filter(F.col("score") > threshold)
+    names = ("grp", "text_a", "context_a", "text_b", "context_b") if context else ("grp", "text_a", "text_b")
+    return both.select(*names, score.alias("score")).filter(F.col("score") > threshold)
+
+
+def _prefix(vectors: DataFrame, terms: str, name: str, least: float) -> DataFrame:
+    """A row for each term, from the rarest on, until the squared norm of those before exceeds 1 - least^2."""
+    seen = F.aggregate(F.slice(terms, F.lit(1), F.col("_pos")), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
+    opened = vectors.select("*", F.posexplode(terms).alias("_pos", "_e")).filter(seen <= 1 - least * least + 1e-9)
+    return opened.withColumn(name, F.col("_e.term")).drop("_pos", "_e")
+
+
+def _by_rarity(weights: DataFrame) -> DataFrame:
+    """grp, text, l: its terms as structs (_df, term, w), the rarest of the request first."""
+    held = weights.groupBy("grp", "term").agg(F.count("*").alias("_df"))
+    return weights.join(held, ["grp", "term"]).groupBy("grp", "text").agg(F.array_sort(F.collect_list(F.struct("_df", "term", "w"))).alias("l"))
+
+
+def feature_clusters(items: DataFrame, threshold: float = 0.984375, char_share: float = 0.8) -> DataFrame:
+    """Greedy clustering by mixed text similarity: item, cluster.
+
+    items: grp, item (long, unique, in input order), mention, context. Items of equal mention and
+    context are one node of the similarity graph; the greedy rule then needs, for each item, the
+    largest smaller item among all items of its node and the nodes linked to it, which running maxima
+    over range partitions give. A null mention, or one without terms, is linked to nothing.
+    """
+    held = items.filter("grp is not null and item is not null").select("grp", "item", F.col("mention").alias("text"), F.coalesce("context", F.lit("")).alias("context"))
+    held = cut(held)
+    links = feature_similarities(held, threshold, char_share)
+    node = lambda n: F.struct(F.col("grp"), F.col(f"text_{n}").alias("text"), F.col(f"context_{n}").alias("context"))
+    pairs = links.select(node("a").alias("a"), node("b").alias("b"))
+    # a node meets itself with the full share of each of its vectors that holds terms
+    full = F.when(F.length("text") >= 2, char_share).otherwise(0.0) + F.when(F.size(words("context")) > 0, 1 - char_share).otherwise(0.0)
+    own = held.filter(full > threshold).select(F.struct("grp", "text", "context").alias("a")).distinct()
+    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own.select("a", F.col("a").alias("b"))))
+    named = held.select("item", F.struct("grp", "text", "context").alias("b"))
+    asks = named.select(F.col("b").alias("a"), "item", F.lit(0).alias("gives"))
+    gives = both.join(named, "b").select("a", "item", F.lit(1).alias("gives"))
+    events = asks.unionByName(gives).groupBy("a", "item").agg(F.max(1 - F.col("gives")).alias("asks"), F.max("gives").alias("gives"))
+    events = events.select(F.xxhash64("a").alias("h"), "a", "item", "asks", F.when(F.col("gives") == 1, F.col("item")).alias("_given"))
+    run = running_max(running_max(events, ["h", "a"], [F.col("item")], "_given", "ptr"), ["h", "a"], [F.col("item").desc()], "_given", "_above")
+    near = run.filter("asks = 1 and (ptr is not null or _above is not null)").select("item", "ptr", F.coalesce("_above", "ptr").alias("top"))
+    return follow_labels(held, near)
+
+
+def cluster_mentions(items: DataFrame, dim: int, kind: str = "greedy", threshold: float | None = None) -> DataFrame:
+    """One of the three clusterers under one interface: item, cluster.
+
+    items: grp, item, mention, vector, context. kind: 'greedy' (product of vectors above the threshold,
+    80.98388671875 unless given), 'three_step', or 'feature' (0.984375 unless given).
+    """
+    if kind == "greedy":
+        pairs = group_pairs(items.select("grp", "item", "vector"), dim, 80.98388671875 if threshold is None else threshold)
+        return greedy_clusters(items, pairs)
+    if kind == "three_step":
+        return three_step_clusters(items, dim)
+    if kind == "feature":
+        return feature_clusters(items, 0.984375 if threshold is None else threshold)
+    raise ValueError(f"no clusterer {kind!r}")
 
 
 def _sparse_dot(a: str, b: str) -> Column:
@@ -265,18 +341,27 @@ def medoids(items: DataFrame, dim: int) -> DataFrame:
     return total.groupBy("grp").agg(best).select("grp", F.col("b.item").alias("medoid"), F.col("b.d").alias("distance_sum"))
 
 
+def medoid_vectors(rows: DataFrame, cluster: str, item: str, vectors: DataFrame, dim: int) -> DataFrame:
+    """cluster, vector (binary): the vector of the medoid of each cluster; vectors: item, vector."""
+    usable = cut(clean_vectors(vectors.select(F.col(item).alias("item"), "vector"), "vector", dim).groupBy("item").agg(F.min("vector").alias("vector")))
+    placed = rows.select(F.col(cluster).alias("grp"), F.col(item).alias("item")).join(usable, "item")
+    best = medoids(placed, dim).select(F.col("grp").alias(cluster), F.col("medoid").alias("item"))
+    return best.join(usable, "item").select(cluster, "vector")
+
+
 def package_clusters(rows: DataFrame, cluster: str, item: str, mention: str, vectors: DataFrame | None = None, dim: int = 0) -> DataFrame:
-    """cluster, title, n_elements, mentions, mentions_id (both in item order) [, center: base64 of the mean vector].
+    """cluster, title, n_elements, mentions, mentions_id (both in item order) [, center: base64 of the medoid's vector].
 
-    The response form of the clusterers: its arrays are the requested output, one per cluster.
+    The response form of the clusterers: its arrays are the requested output, one per cluster. A
+    cluster without a usable vector has a null center.
     """
     lists = rows.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct(item, mention))).alias("_l"))
     out = mode_titles(rows, cluster, mention).join(
         lists.select(cluster, F.transform("_l", lambda s: s[mention]).alias("mentions"), F.transform("_l", lambda s: s[item]).alias("mentions_id")), cluster
     )
     if vectors is not None:
-        means = mean_vectors(rows.select(cluster, item).join(vectors, item).select(F.col(cluster).alias("comp"), "vector"), dim)
-        out = out.join(means.select(F.col("comp").alias(cluster), F.base64("vector").alias("center")), cluster, "left")
+        centres = medoid_vectors(rows, cluster, item, vectors, dim)
+        out = out.join(centres.select(cluster, to_base64(F.col("vector")).alias("center")), cluster, "left")
     return out
 
 
@@ -286,12 +371,11 @@ def rare_filter(df: DataFrame, entity: str, least: int) -> DataFrame:
     return df.join(kept, entity, "left_semi")
 
 
-def batches_of(df: DataFrame, order: str, step: int) -> DataFrame:
-    """Micro-batch number of each document: place in order div step."""
-    from moraine.operators.ranking import running_weight
-
-    one = df.withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0))
-    placed = running_weight(one, ["_all"], [F.col(order)], "_one", "_before")
-    return placed.withColumn("batch", F.floor(F.col("_before") / step).cast("int")).drop("_one", "_all", "_before")
+def batches_of(df: DataFrame, order: str, step: int, seed: int | None = None) -> DataFrame:
+    """Micro-batch number of each document: place div step, in order or, with a seed, in a shuffle that the seed fixes."""
+    u = F.lit(0.0) if seed is None else hash_uniform(seed, F.col(order))
+    one = df.withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0)).withColumn("_u", u)
+    placed = running_weight(one, ["_all"], [F.col("_u"), F.col(order)], "_one", "_before")
+    return placed.withColumn("batch", F.floor(F.col("_before") / step).cast("int")).drop("_one", "_all", "_before", "_u")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.operators.ranking import hash_uniform, running_weight
+from moraine.session import cut
 
 
 def entity_frequency(mentions: DataFrame, entity: str = "wikiid") -> DataFrame:
@@ -46,8 +47,30 @@ def move_rows(source: DataFrame, target: DataFrame, chosen: DataFrame, keys: lis
     return source.join(keys_of, keys, "left_anti"), target.unionByName(source.join(keys_of, keys, "left_semi"))
 
 
-def distinct_mentions(mentions: DataFrame, keys: tuple[str, ...] = ("word", "wikiid")) -> DataFrame:
-    return mentions.dropDuplicates(list(keys))
+def distinct_mentions(mentions: DataFrame, keys: tuple[str, ...] = ("word", "wikiid"), order: str = "ex_id") -> DataFrame:
+    """The first row, by `order`, of each combination of keys; null keys are equal to each other."""
+    rest = [c for c in mentions.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), order).alias("_row")
+    return mentions.groupBy(*keys).agg(first).select(*[k if k in keys else F.col(f"_row.{k}").alias(k) for k in mentions.columns])
+
+
+def build_dataset(mentions: DataFrame, key: str, n_batches: int = 10, move: int = 500, seed: int = 1234) -> DataFrame:
+    """The chain of dataset synthesis over mentions (key, word, wikiid): nil, freq and batch of each row kept.
+
+    The prior makes entities NIL; whole (wikiid, word) groups of NIL mentions, in hashed order until
+    `move` rows, leave the corpus as a pool for later transplants (batch -1); of what stays, the first
+    row of each (word, wikiid) is kept and dealt into batches, stratified by NIL state and frequency
+    (9 and more as one). Rows without a word or a wikiid take no part.
+    """
+    held = mentions.filter("word is not null and wikiid is not null").select(key, "word", "wikiid")
+    held = held.select("*", F.lit(0).alias("freq"), F.lit(0.0).alias("p_formula"), F.lit(0.0).alias("p_uniform"), F.lit(False).alias("nil"))
+    drawn = cut(propagate_prior(held, nil_prior(entity_frequency(held), seed=seed), "wikiid").select(key, "word", "wikiid", "nil", "freq"))
+    chosen = transplant_sample(drawn.filter("nil"), ["wikiid", "word"], move, seed)
+    stay, moved = move_rows(drawn, drawn.limit(0), cut(chosen), ["word", "wikiid"])
+    kept = distinct_mentions(stay.select(key, "word", "wikiid", "nil", "freq"), ("word", "wikiid"), key)
+    kept = kept.withColumn("stratum", F.concat_ws("-", F.col("nil").cast("int").cast("string"), F.least("freq", F.lit(9)).cast("string")))
+    dealt = stratified_batches(kept, "stratum", key, n_batches, seed).drop("stratum")
+    return dealt.unionByName(moved.select(*[c for c in dealt.columns if c != "batch"]).withColumn("batch", F.lit(-1)))
 
 
 def shared_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.session import cut
+from moraine.session import cut, release
 
 
 def flatten(hooks: DataFrame) -> DataFrame:
@@ -14,7 +14,9 @@ def flatten(hooks: DataFrame) -> DataFrame:
     while True:
         jump = hooks.select(F.col("x").alias("to"), F.col("to").alias("_far"))
         moved = cut(hooks.join(jump, "to", "left").select("x", F.coalesce("_far", "to").alias("to"), F.col("_far").isNotNull().alias("_moved")))
+        release(hooks)
         hooks = moved.select("x", "to")
+        hooks._moraine_files = moved._moraine_files
         if moved.filter("_moved").isEmpty():
             return hooks
 
@@ -36,6 +38,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     label = cut(nodes.select("node", F.col("node").alias("comp")))
     for _ in range(max_rounds):
         if live.isEmpty():
+            release(live)
             return label
         # every label hooks to the least label next to it
         hook = (
@@ -49,6 +52,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         move = lambda d, c: (
             d.join(hook.withColumnRenamed("x", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
         )
+        old = live, label, hook
         live = cut(
             move(move(live, "a"), "b")
             .filter("a <> b")
@@ -56,6 +60,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         label = cut(move(label, "comp"))
+        release(*old)
     raise RuntimeError(f"components not stable after {max_rounds} rounds")
 
 
@@ -104,7 +109,8 @@ def climb(nodes: DataFrame, sums: tuple[str, ...] = (), lists: tuple[str, ...] =
         if sizes:
             below = active.groupBy(F.col("anc").alias("node")).agg(F.sum("size").alias("_below"))
             new = new.join(below, "node", "left").withColumn("size", F.col("size") + F.coalesce("_below", F.lit(0))).drop("_below")
-        state = cut(new)
+        old, state = state, cut(new)
+        release(old)
     reached = state.filter("anc is null").drop("anc")
     endless = state.filter("anc is not null").select("node", F.col("anc").alias("ptr"))
     return reached, endless

@@ -24,7 +24,7 @@ def cycle_members(endless: DataFrame) -> DataFrame:
     return image
 
 
-def heavy_paths(rows: DataFrame) -> DataFrame:
+def heavy_paths(rows: DataFrame, paths: bool = True) -> DataFrame:
     """Full hierarchy of rows (node long, parent long).
 
     Output, one row per distinct non-null node: node, root, depth, path (array from the root to the
@@ -34,7 +34,8 @@ def heavy_paths(rows: DataFrame) -> DataFrame:
 
     A parent that is null or not held makes a root. Of several rows of one node the one with the
     smallest non-null parent counts. For 'cycle' and 'stray' nodes root, depth, path and interval are
-    null. An empty input gives an empty output; further columns are ignored.
+    null. An empty input gives an empty output; further columns are ignored. With paths=False the
+    column path is left out, and with it every array: the cost no longer depends on the lengths of chains.
 
     Cycles are separated first, by doubling, which also counts subtrees. The child with the largest
     subtree continues its parent's chain, so any path crosses at most log2(n) chains; heads, path
@@ -65,24 +66,25 @@ def heavy_paths(rows: DataFrame) -> DataFrame:
     )
     placed, _ = climb(ladder)
     placed = cut(placed.select("node", F.col("far").alias("chain"), F.col("hops").alias("position")))
-    members = placed.groupBy("chain").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "node"))), lambda s: s["node"]).alias("members")
-    )
-
+    none = F.array().cast("array<long>")
     # a light child starts a chain: where it hangs, and how far its preorder number is from its upper chain's head
     light = running_weight(child.filter("node <> heavy"), ["parent"], [F.col("node")], "size", "_earlier")
     hang = light.join(placed.select(F.col("node").alias("parent"), F.col("chain").alias("ptr"), "position"), "parent").select(
-        "node", "ptr", "position", (F.col("position") + 1 + F.col("heavy_size") + F.col("_earlier")).alias("shift")
+        "node", "ptr", "position", (F.col("position") + 1).alias("length"), (F.col("position") + 1 + F.col("heavy_size") + F.col("_earlier")).alias("shift")
     )
-    hang = hang.join(members.withColumnRenamed("chain", "ptr"), "ptr").select(
-        "node", "ptr", "shift", F.slice("members", 1, (F.col("position") + 1).cast("int")).alias("prefix")
-    )
-    heads = members.select(F.col("chain").alias("node")).join(hang, "node", "left").select(
-        "node", "ptr", F.coalesce("shift", F.lit(0)).cast("long").alias("shift"),
-        F.coalesce("prefix", F.array().cast("array<long>")).alias("prefix"),
+    if paths:
+        members = placed.groupBy("chain").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("position", "node"))), lambda s: s["node"]).alias("members")
+        )
+        hang = hang.join(members.withColumnRenamed("chain", "ptr"), "ptr").withColumn("prefix", F.slice("members", 1, F.col("length").cast("int")))
+    heads = placed.filter("position = 0").select(F.col("chain").alias("node")).join(hang, "node", "left").select(
+        "node", "ptr", F.coalesce("shift", F.lit(0)).cast("long").alias("shift"), F.coalesce("length", F.lit(0)).cast("long").alias("length"),
+        *([F.coalesce("prefix", none).alias("prefix")] if paths else []),
     )
-    chains, _ = climb(heads, sums=("shift",), lists=("prefix",))
-    chains = chains.select(F.col("node").alias("chain"), F.col("far").alias("root"), "shift", "prefix").join(members, "chain")
+    chains, _ = climb(heads, sums=("shift", "length"), lists=("prefix",) if paths else ())
+    chains = chains.withColumnsRenamed({"node": "chain", "far": "root"}).drop("hops")
+    if paths:
+        chains = chains.join(members, "chain")
 
     full = (
         tree.select("node", "size", "parent")
@@ -91,8 +93,8 @@ def heavy_paths(rows: DataFrame) -> DataFrame:
         .select(
             "node",
             "root",
-            (F.size("prefix") + F.col("position")).cast("int").alias("depth"),
-            F.concat("prefix", F.slice("members", 1, (F.col("position") + 1).cast("int"))).alias("path"),
+            (F.col("length") + F.col("position")).cast("int").alias("depth"),
+            *([F.concat("prefix", F.slice("members", 1, (F.col("position") + 1).cast("int"))).alias("path")] if paths else []),
             "chain",
             F.col("position").cast("int").alias("position"),
             (F.col("shift") + F.col("position")).alias("first"),

@@ -70,8 +70,10 @@ def grow(entities: DataFrame, clusters: DataFrame, next_id: int, indexer: int =
     )
 
 
-def next_position(vectors: DataFrame, indexer: int = READ_WRITE) -> int:
-    return (vectors.filter(F.col("indexer") == indexer).agg(F.max("id")).first()[0] or -1) + 1 if not vectors.isEmpty() else 0
+def next_position(rows: DataFrame, indexer: int = READ_WRITE) -> int:
+    """The position of the next entity of an index (rows: id, indexer): one past its largest id, 0 if it holds none."""
+    last = rows.filter(F.col("indexer") == indexer).agg(F.max("id")).first()[0]
+    return 0 if last is None else int(last) + 1
 
 
 def write_partition(df: DataFrame, path: str, mode: str = "append") -> None:

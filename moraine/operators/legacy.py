@@ -16,6 +16,11 @@ def lexical_candidates(queries: DataFrame, entities: DataFrame, k: int = 80, des
     lower-cased words; a query word counts once. Equal query texts are scored once and their answers
     joined back. The score of a word in a field is idf x tf (k1 + 1) / (tf + k1 (1 - b + b len / mean
     len)), idf = ln(1 + (n - df + 0.5) / (df + 0.5)).
+
+    The k-th best posting of any word of a query is a floor of its k-th score. Words whose largest
+    weights together lie below that floor cannot bring an entity in by themselves, so only the posting
+    lists of the other words are read for candidates, and the weak words, the frequent ones as a rule,
+    are looked up for these alone. No result changes.
     """
     fields = entities.select("id", "links", F.explode(F.array(
         F.struct(F.lit("t").alias("field"), words("title").alias("ws"), F.lit(1.0).alias("fw")),
@@ -29,8 +34,21 @@ def lexical_candidates(queries: DataFrame, entities: DataFrame, k: int = 80, des
     postings = tf.join(df, ["field", "term"]).join(F.broadcast(stats), "field").select("term", "id", "links", (F.col("fw") * weight).alias("w"))  # two rows
     texts = queries.select(F.col("text").alias("_text")).filter("_text is not null").distinct()
     asked = texts.select("_text", F.explode(F.array_distinct(words("_text"))).alias("term"))
-    score = asked.join(postings, "term").groupBy("_text", "id", "links").agg(F.sum("w").alias("s"))
-    score = score.withColumn("score", F.round(F.col("s") * F.log10(F.lit(10) + F.coalesce("links", F.lit(0))), 6))
+    # the factor of an entity goes into its postings, so that a score is a plain sum over terms
+    postings = postings.withColumn("w", F.col("w") * F.log10(F.lit(10) + F.coalesce("links", F.lit(0)))).groupBy("term", "id").agg(F.sum("w").alias("w"))
+    postings = cut(postings)
+    rank = Window.partitionBy("term").orderBy(F.col("w").desc())
+    best = postings.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= k)
+    bounds = best.groupBy("term").agg(F.max("w").alias("most"), F.max(F.when(F.col("_r") == k, F.col("w"))).alias("kth"))
+    asked = asked.join(bounds, "term")
+    ordered = asked.groupBy("_text").agg(F.coalesce(F.max("kth"), F.lit(0.0)).alias("bar"), F.array_sort(F.collect_list(F.struct("most", "term"))).alias("terms"))
+    spare = F.aggregate(F.slice("terms", F.lit(1), F.col("pos") + 1), F.lit(0.0), lambda s, t: s + t["most"])
+    split = ordered.select("_text", "bar", "terms", F.posexplode("terms").alias("pos", "t")).select("_text", F.col("t.term").alias("term"), (spare < F.col("bar") * (1 - 1e-9)).alias("weak"))
+    split = cut(split)
+    strong = split.filter("not weak").join(postings, "term").select("_text", "id", "w")
+    found = cut(strong.groupBy("_text", "id").agg(F.sum("w").alias("w")))
+    extra = found.select("_text", "id").join(split.filter("weak").select("_text", "term"), "_text").join(postings, ["term", "id"]).select("_text", "id", "w")
+    score = found.unionByName(extra).groupBy("_text", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     order = Window.partitionBy("_text").orderBy(F.col("score").desc(), "id")
     top = score.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("_text", "id", "rank", "score")
     return queries.join(top, F.col("text") == F.col("_text")).select("query", "id", "rank", "score")
@@ -58,14 +76,20 @@ def coreference(mentions: DataFrame, candidates: DataFrame, persons: DataFrame)
     mentions: doc, item, mention. candidates: item, entity, p. persons: entity. A mention takes the
     candidates of the other mentions of its document that contain it on word boundaries and whose best
     candidate is a person, each p summed and divided by their number; a mention without such keeps its
-    own. Mentions of a document are compared once per distinct text.
+    own. Containment is an equi-join: each distinct longer text of a document lists its runs of words,
+    and a shorter text meets the runs equal to it.
     """
     best = candidates.groupBy("item").agg(F.max(F.struct("p", "entity")).alias("b")).select("item", F.col("b.entity").alias("entity"))
     named = best.join(persons.select("entity").distinct(), "entity", "left_semi").select("item")
-    longer = mentions.join(named, "item", "left_semi").select("doc", F.col("item").alias("other"), F.lower("mention").alias("_long"))
-    short = mentions.select("doc", "item", F.lower("mention").alias("_short"))
-    inside = F.concat(F.lit(" "), F.regexp_replace("_long", r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace("_short", r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
-    coref = cut(short.join(longer, "doc").filter((F.length("_long") > F.length("_short")) & inside).select("item", "other"))
+    plain = F.trim(F.regexp_replace(F.lower("mention"), r"[^\p{L}\p{N}]+", " "))
+    texts = cut(mentions.select("doc", "item", F.lower("mention").alias("_text"), plain.alias("_plain")).filter("_plain <> ''"))
+    longer = texts.join(named, "item", "left_semi")
+    w = F.split("_plain", " ")
+    runs = longer.select("doc", "_text", "_plain").distinct().withColumn("_w", w).withColumn("_from", F.explode(F.sequence(F.lit(1), F.size("_w"))))
+    runs = runs.select("doc", F.col("_text").alias("_long"), F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_from") + 1), lambda n: F.array_join(F.slice("_w", F.col("_from"), n), " "))).alias("_plain")).distinct()
+    kinds = texts.select("doc", "_text", "_plain").distinct().join(runs, ["doc", "_plain"]).filter(F.length("_long") > F.length("_text")).select("doc", "_text", "_long").distinct()
+    found = longer.select("doc", F.col("item").alias("other"), F.col("_text").alias("_long"))
+    coref = cut(texts.join(kinds, ["doc", "_text"]).join(found, ["doc", "_long"]).select("item", "other"))
     n = coref.groupBy("item").agg(F.count("*").alias("_n"))
     pooled = coref.join(candidates.withColumnRenamed("item", "other"), "other").groupBy("item", "entity").agg(F.sum("p").alias("_p"))
     pooled = pooled.join(n, "item").select("item", "entity", (F.col("_p") / F.col("_n")).alias("p"))
@@ -150,9 +174,11 @@ def word_context_vectors(mentions: DataFrame, words_: DataFrame, vectors: DataFr
     mentions: item, doc, at (word number). words_: doc, at, word. vectors: word, vector (array). Words
     without a vector do not count; a mention without any has no row.
     """
-    known = words_.join(vectors, "word").select("doc", F.col("at").alias("_at"), F.posexplode("vector").alias("i", "x"))
-    tops = known.filter(F.col("_at") < head).groupBy("doc", "i").agg(F.avg("x").alias("_head"))
-    around = mentions.join(known, "doc").filter(F.abs(F.col("at") - F.col("_at")) <= window).groupBy("item", "doc", "i").agg(F.avg("x").alias("_near"))
+    spread = F.posexplode("vector").alias("i", "x")
+    tops = words_.filter(F.col("at") < head).join(vectors, "word").select("doc", spread).groupBy("doc", "i").agg(F.avg("x").alias("_head"))
+    # the places of a window are listed and met by equality, before any vector is unfolded
+    places = mentions.select("item", "doc", F.explode(F.sequence(F.col("at") - window, F.col("at") + window)).alias("at"))
+    around = places.join(words_, ["doc", "at"]).join(vectors, "word").select("item", "doc", spread).groupBy("item", "doc", "i").agg(F.avg("x").alias("_near"))
     both = mentions.select("item", "doc").join(tops, "doc").join(around, ["item", "doc", "i"], "full")
     mixed = both.select("item", "i", (near * F.coalesce("_near", F.lit(0.0)) + (1 - near) * F.coalesce("_head", F.lit(0.0))).alias("x"))
     return mixed.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.operators.graph import connected_components
+from moraine.session import cut, release
 
 TINY = 1e-13
 
@@ -43,66 +46,113 @@ def phi4(cells: DataFrame) -> DataFrame:
     return cells.select("t", "p", (2.0 * F.col("n") / (F.col("nt") + F.col("np"))).alias("phi"))
 
 
-def best_assignment(weight: np.ndarray) -> float:
-    """Largest total of a matching in a matrix of non-negative weights (Hungarian method with potentials)."""
-    cost = -(weight if weight.shape[0] <= weight.shape[1] else weight.T)
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    match = np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, seen, back = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
+def best_matching(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
+    """Largest total of a matching over edges (a, b, w >= 0), a and b numbered from 0, each pair once.
+
+    Shortest augmenting paths over the edges alone, with potentials; a row may also stay free at no gain.
+    """
+    n, m = int(a.max(initial=-1)) + 1, int(b.max(initial=-1)) + 1
+    order = np.argsort(a, kind="stable")
+    starts = np.searchsorted(a[order], np.arange(n + 1))
+    ends, costs = b[order], -w[order].astype(float)
+    u = np.array([min(0.0, costs[s:e].min(initial=0.0)) for s, e in zip(starts[:-1], starts[1:], strict=True)])
+    v = np.zeros(m + n)  # column m + i stands for row i staying free
+    owner, mine = np.full(m + n, -1), np.full(n, -1)
+    for root in range(n):
+        reach, back, done = {}, {}, {}
+        heap: list[tuple[float, int]] = []
+        row, at, goal = root, 0.0, -1
+        while goal < 0:
+            free = m + row
+            for j, c in [*zip(ends[starts[row] : starts[row + 1]].tolist(), costs[starts[row] : starts[row + 1]].tolist(), strict=True), (free, 0.0)]:
+                d = at + c - u[row] - v[j]
+                if j not in done and d < reach.get(j, math.inf) - 1e-15:
+                    reach[j], back[j] = d, row
+                    heapq.heappush(heap, (d, j))
+            while heap:
+                at, j = heapq.heappop(heap)
+                if j not in done and at <= reach[j]:
+                    break
+            done[j] = at
+            if owner[j] < 0:
+                goal = j
+            else:
+                row = owner[j]
+        length = at
+        u[root] += length
+        for j, d in done.items():
+            if owner[j] >= 0:
+                u[owner[j]] += length - d
+            v[j] -= length - d
+        j = goal
         while True:
-            seen[j0] = True
-            reduced = cost[match[j0] - 1] - u[match[j0]] - v[1:]
-            better = ~seen[1:] & (reduced < least[1:])
-            least[1:][better], back[1:][better] = reduced[better], j0
-            open_ = np.where(seen[1:], np.inf, least[1:])
-            j1 = int(open_.argmin()) + 1
-            delta = open_[j1 - 1]
-            u[match[seen]] += delta
-            v[seen] -= delta
-            least[1:][~seen[1:]] -= delta
-            j0 = j1
-            if match[j0] == 0:
+            i = back[j]
+            freed, owner[j], mine[i] = mine[i], i, j
+            if i == root:
                 break
-        while j0:
-            match[j0] = match[back[j0]]
-            j0 = back[j0]
-    return float(sum(-cost[match[j] - 1, j - 1] for j in range(1, m + 1) if match[j]))
+            j = freed
+    value = {(x, y): z for x, y, z in zip(a.tolist(), b.tolist(), w.tolist(), strict=True)}
+    return float(sum(value[(owner[j], j)] for j in range(m) if owner[j] >= 0))
+
+
+def matching_total(edges: DataFrame) -> DataFrame:
+    """One row `total`: the largest total of a one-to-one matching over edges (a long, b long, w > 0, each pair once).
+
+    An edge that weighs at least as much as the best other edges of both of its ends together belongs to
+    a best matching, so such edges are taken in rounds and their ends leave. What is left, cells that
+    compete closely, splits into connected components, each solved in one task over its edges.
+    """
+    spark = edges.sparkSession
+    live, taken = cut(edges.select("a", "b", F.col("w").cast("double").alias("w"))), 0.0
+    while True:
+        first = {}
+        for side, other in (("a", "b"), ("b", "a")):
+            best = Window.partitionBy(side).orderBy(F.col("w").desc(), other)
+            top = live.withColumn("_r", F.row_number().over(best)).filter("_r <= 2")
+            first[side] = top.groupBy(side).agg(
+                F.max(F.when(F.col("_r") == 1, F.col(other))).alias(other), F.max(F.when(F.col("_r") == 1, F.col("w"))).alias("w"),
+                F.coalesce(F.max(F.when(F.col("_r") == 2, F.col("w"))), F.lit(0.0)).alias(f"rest_{side}"),
+            )
+        sure = cut(first["a"].join(first["b"].drop("w"), ["a", "b"]).filter(F.col("w") >= F.col("rest_a") + F.col("rest_b")).select("a", "b", "w"))
+        gain = sure.agg(F.sum("w")).first()[0]
+        if gain is None:
+            break
+        taken += gain
+        old, live = live, cut(live.join(sure.select("a"), "a", "left_anti").join(sure.select("b"), "b", "left_anti").select("a", "b", "w"))
+        release(old, sure)
+    rest = 0.0
+    if not live.isEmpty():
+        name = lambda c, k: F.xxhash64(F.lit(k), F.col(c))
+        comps = connected_components(live.select(name("a", 0).alias("a"), name("b", 1).alias("b")))
+
+        def solve(frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"total": [best_matching(pd.factorize(frame["a"])[0], pd.factorize(frame["b"])[0], frame["w"].to_numpy())]})
+
+        placed = live.withColumn("node", name("a", 0)).join(comps, "node")
+        rest = placed.groupBy("comp").applyInPandas(solve, "total double").agg(F.sum("total")).first()[0] or 0.0
+    return spark.createDataFrame([(taken + rest,)], "total double")
+
+
+def _edges(cells: DataFrame, weight: str) -> DataFrame:
+    """Cells as edges between hashed cluster names, of whatever kind these are."""
+    return cells.select(F.xxhash64(F.col("t").cast("string")).alias("a"), F.xxhash64(F.col("p").cast("string")).alias("b"), F.col(weight).alias("w"))
 
 
 def ceaf_e(cells: DataFrame, swapped: bool = False) -> DataFrame:
-    """One row: entity CEAF precision, recall, f1.
+    """One row: entity CEAF precision, recall, f1, null without items; precision is over predicted, recall over true clusters.
 
-    The best matching splits over the components of the contingency graph, each solved in one task.
-    precision is over predicted, recall over true clusters; `swapped` exchanges the two, as the
-    published evaluation does.
+    `swapped` exchanges the two, as the published evaluation does.
     """
-    scores = phi4(cells)
-    name = lambda c, k: F.xxhash64(F.lit(k), F.col(c).cast("string"))
-    graph = scores.select("t", "p", "phi", name("t", 0).alias("a"), name("p", 1).alias("b"))
-    comps = connected_components(graph.select("a", "b"))
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = pd.factorize(frame["t"])[0], pd.factorize(frame["p"])[0]
-        w = np.zeros((rows.max() + 1, cols.max() + 1))
-        w[rows, cols] = frame["phi"]
-        return pd.DataFrame({"total": [best_assignment(w)]})
-
-    totals = graph.join(comps.withColumnRenamed("node", "a"), "a").select("comp", F.col("a").alias("t"), F.col("b").alias("p"), "phi")
-    best = totals.groupBy("comp").applyInPandas(solve, "total double").agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))
+    best = matching_total(_edges(phi4(cells), "phi"))
     counts = cells.agg(F.countDistinct("t").alias("nt"), F.countDistinct("p").alias("np"))
     both = best.crossJoin(F.broadcast(counts))  # one row each
-    p, r = F.col("total") / F.col("np"), F.col("total") / F.col("nt")
+    p, r = F.when(F.col("np") > 0, F.col("total") / F.col("np")), F.when(F.col("nt") > 0, F.col("total") / F.col("nt"))
     p, r = (r, p) if swapped else (p, r)
-    return both.select(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+    return both.select(p.alias("precision"), r.alias("recall"), F.when(p.isNotNull(), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))).alias("f1"))
 
 
 def clustering_report(df: DataFrame, swapped: bool = False) -> DataFrame:
     """One row with all measures, the number of predicted clusters, the median true size and the mean of the three f1."""
-    from moraine.session import cut
-
     cells = cut(contingency(df))
     out = None
     for prefix, one in (("muc", muc(cells)), ("b3", bcubed(cells)), ("ceaf", ceaf_e(cells, swapped))):
@@ -116,16 +166,7 @@ def clustering_report(df: DataFrame, swapped: bool = False) -> DataFrame:
 
 def aligned_count(cells: DataFrame) -> DataFrame:
     """One row `aligned`: the most items that a one-to-one matching of true and predicted clusters can keep."""
-    graph = cells.select("n", F.xxhash64(F.lit(0), F.col("t").cast("string")).alias("a"), F.xxhash64(F.lit(1), F.col("p").cast("string")).alias("b"))
-    comps = connected_components(graph.select("a", "b"))
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = pd.factorize(frame["a"])[0], pd.factorize(frame["b"])[0]
-        w = np.zeros((rows.max() + 1, cols.max() + 1))
-        w[rows, cols] = frame["n"]
-        return pd.DataFrame({"total": [best_assignment(w)]})
-
-    return graph.join(comps.withColumnRenamed("node", "a"), "a").groupBy("comp").applyInPandas(solve, "total double").agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("aligned"))
+    return matching_total(_edges(cells, "n")).withColumnRenamed("total", "aligned")
 
 
 def recall_at(ranks: DataFrame, ks: Sequence[int] = (1, 2, 3, 5, 10, 30, 100), rank: str = "gold_rank") -> DataFrame:
@@ -135,9 +176,13 @@ def recall_at(ranks: DataFrame, ks: Sequence[int] = (1, 2, 3, 5, 10, 30, 100), r
 
 
 def recall_by(ranks: DataFrame, group: str, ks: Sequence[int], rank: str = "gold_rank") -> DataFrame:
-    """group, n and r<k> per group, with macro means over groups and the overall (micro) row under null group."""
+    """kind ('group', 'micro' over all rows, 'macro': means over groups), group, n and r<k>."""
     stats = [F.count("*").alias("n"), *[F.avg(F.col(rank).between(1, k).cast("double")).alias(f"r{k}") for k in ks]]
-    return ranks.groupBy(group).agg(*stats).unionByName(ranks.agg(*stats).withColumn(group, F.lit(None).cast(dict(ranks.dtypes)[group])))
+    none = F.lit(None).cast(dict(ranks.dtypes)[group])
+    per = ranks.groupBy(group).agg(*stats).withColumn("kind", F.lit("group"))
+    micro = ranks.agg(*stats).withColumn(group, none).withColumn("kind", F.lit("micro"))
+    macro = per.agg(F.sum("n").alias("n"), *[F.avg(f"r{k}").alias(f"r{k}") for k in ks]).withColumn(group, none).withColumn("kind", F.lit("macro"))
+    return per.unionByName(micro).unionByName(macro).select("kind", group, "n", *[f"r{k}" for k in ks])
 
 
 def recall_curve(ranks: DataFrame, rank: str = "gold_rank") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.functions.text import multiset_jaccard, word_levenshtein
-from moraine.operators.ranking import grouped_median, hash_uniform
+from moraine.operators.ranking import grouped_median, hash_uniform, running_weight
 
 THRESHOLD = 0.5
 
@@ -105,8 +106,9 @@ def decide(df: DataFrame, score: str = "nil_score", threshold: float = THRESHOLD
 def undersample(df: DataFrame, label: str, key: str, seed: int = 1234) -> DataFrame:
     """All rows of label 0 and as many of label 1, chosen by least hash of the key (all, if there are fewer)."""
     zeros = df.filter(F.col(label) == 0).count()
-    ones = df.filter(F.col(label) == 1).withColumn("_u", hash_uniform(seed, F.col(key))).orderBy("_u", key).limit(zeros).drop("_u")
-    return df.filter(F.col(label) == 0).unionByName(ones)
+    ones = df.filter(F.col(label) == 1).withColumn("_u", hash_uniform(seed, F.col(key))).withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1))
+    placed = running_weight(ones, ["_all"], [F.col("_u"), F.col(key)], "_one", "_before").filter(F.col("_before") < zeros)
+    return df.filter(F.col(label) == 0).unionByName(placed.drop("_u", "_all", "_one", "_before"))
 
 
 def fit_nil_model(train: DataFrame, features: Sequence[str], label: str, undersampled: bool = False, key: str | None = None) -> PipelineModel:
@@ -201,8 +203,6 @@ def ablation_measures(df: DataFrame, probability: str, label: str, baseline: str
 
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """(threshold, fpr, tpr) at each distinct score, descending, from counts per score."""
-    from moraine.operators.ranking import running_weight
-
     counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg")
     )
@@ -212,3 +212,17 @@ def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     return up.crossJoin(F.broadcast(total)).select(  # one row
         "threshold", F.when(F.col("n") > 0, (F.col("fp0") + F.col("neg")) / F.col("n")).alias("fpr"), F.when(F.col("p") > 0, (F.col("tp0") + F.col("pos")) / F.col("p")).alias("tpr")
     )
+
+
+def density_points(df: DataFrame, score: str, label: str, low: float, high: float, points: int, bandwidth: float) -> DataFrame:
+    """label, at, density: a Gaussian kernel density of the score of each label on an even grid.
+
+    Scores are counted per value to twelve digits first, so the grid meets distinct values only; rows
+    with a null score or label do not count.
+    """
+    counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label).alias("label"), F.round(score, 12).alias("_s")).agg(F.count("*").alias("_w"))
+    step = (high - low) / max(1, points - 1)
+    grid = counts.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", F.lit(low) + F.col("_g") * step)
+    z = (F.col("at") - F.col("_s")) / bandwidth
+    sums = grid.groupBy("label", "at").agg((F.sum(F.col("_w") * F.exp(-0.5 * z * z)) / F.sum("_w") / (bandwidth * (2 * math.pi) ** 0.5)).alias("density"))
+    return sums

@@ -24,16 +24,29 @@ def running_weight(
     guarantee. Null group values form a group of their own. A null weight counts as 0. An empty
     input gives an empty output.
     """
+    add = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    return _running(df, groups, order, F.coalesce(F.col(weight), F.lit(0)), before, F.sum, add)
+
+
+def running_max(
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column], value: str, before: str = "before"
+) -> DataFrame:
+    """Add column `before`: the largest non-null `value` over the earlier rows of the same group, null if there is none."""
+    both = lambda a, b: F.greatest(a, b)
+    return _running(df, groups, order, F.col(value), before, F.max, both)
+
+
+def _running(df: DataFrame, groups: Sequence[str], order: Sequence[Column], value: Column, before: str, fold, both) -> DataFrame:
     parts = shuffle_width(df.sparkSession)
     ranged = cut(
         df.repartitionByRange(parts, *[F.col(g) for g in groups], *order).withColumn("_pid", F.spark_partition_id())
     )
-    sums = ranged.groupBy(*groups, "_pid").agg(F.sum(F.coalesce(F.col(weight), F.lit(0))).alias("_sum"))
+    sums = ranged.groupBy(*groups, "_pid").agg(fold(value).alias("_part"))
     spread = Window.partitionBy(*groups)
     offsets = (
         sums.withColumn("_n", F.count("*").over(spread))
         .filter("_n > 1")
-        .withColumn("_offset", F.sum("_sum").over(spread.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("_offset", fold("_part").over(spread.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
         .select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_pid").alias("_opid"), "_offset")
     )
     inside = Window.partitionBy("_pid", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -41,9 +54,9 @@ def running_weight(
     for i, g in enumerate(groups):
         match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     return (
-        ranged.withColumn("_local", F.sum(F.coalesce(F.col(weight), F.lit(0))).over(inside))
+        ranged.withColumn("_local", fold(value).over(inside))
         .join(F.broadcast(offsets), match, "left")
-        .withColumn(before, F.coalesce("_local", F.lit(0)) + F.coalesce("_offset", F.lit(0)))
+        .withColumn(before, both(F.col("_local"), F.col("_offset")))
         .drop("_pid", "_local", "_offset", "_opid", *[f"_g{i}" for i in range(len(groups))])
     )
 

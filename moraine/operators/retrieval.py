@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from moraine.functions.text import page_url
 from moraine.functions.vectors import augment, dot, norm_score
-from moraine.operators.ranking import running_weight
 
 DUMMY_SCORE = -1000.0
 
@@ -41,12 +40,11 @@ def join_entities(candidates: DataFrame, entities: DataFrame, language: str = "e
 def merge_lists(candidates: DataFrame, score: str = "score") -> DataFrame:
     """Rank over all index lists of a query, by score descending: up to k per index stay, not k in all.
 
-    Ties: smaller indexer, then smaller id. A null score ranks last. Places come from running sums
-    over range partitions, so a query with very many candidates is not one task.
+    Ties: smaller indexer, then smaller id. A null score ranks last. A list holds at most top_k entries
+    of each index, so the window over a query is small and shares the shuffle of its aggregates.
     """
-    order = [F.col(score).desc_nulls_last(), F.col("indexer"), F.col("id")]
-    placed = running_weight(candidates.withColumn("_one", F.lit(1)), ["query"], order, "_one", "_before")
-    return placed.withColumn("rank", (F.col("_before") + 1).cast("int")).drop("_one", "_before")
+    order = Window.partitionBy("query").orderBy(F.col(score).desc_nulls_last(), "indexer", "id")
+    return candidates.withColumn("rank", F.row_number().over(order))
 
 
 def candidate_arrays(ranked: DataFrame) -> DataFrame:

@@ -34,14 +34,20 @@ def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path, depth, root, chain, preorder interval and state of every entity."""
+    """Path, depth, root, number of descendants and state of every entity."""
     h = heavy_paths(redirects(spark, sf_dir))
     return h.select(
         _indexer("node").alias("indexer"), _id("node").alias("id"), _id("root").alias("root_id"), "depth",
-        F.transform("path", _id).alias("path"), _id("chain").alias("chain"), "position", "first", "last", "n_descendants", "state",
+        F.transform("path", _id).alias("path"), "n_descendants", "state",
     )
 
 
+def p5_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chain and preorder interval of every entity that reaches a root: its descendants are those of its root with a place inside."""
+    h = heavy_paths(redirects(spark, sf_dir), paths=False).filter("root is not null")
+    return h.select(_indexer("node").alias("indexer"), _id("node").alias("id"), _id("root").alias("root_id"), _id("chain").alias("chain"), "position", "first", "last")
+
+
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of an entity and an entity that leads to it."""
     d = descendants(heavy_paths(redirects(spark, sf_dir)))
@@ -50,7 +56,7 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that are no roots, with their root, or -1 where the chain never reaches one."""
-    h = heavy_paths(redirects(spark, sf_dir)).filter("state <> 'root'")
+    h = heavy_paths(redirects(spark, sf_dir), paths=False).filter("state <> 'root'")
     return h.select(_indexer("node").alias("indexer"), _id("node").alias("id"), F.coalesce(_id("root"), F.lit(-1)).alias("root_id"))
 
 
@@ -80,7 +86,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p5_hierarchy, p5_descendants, p5_found, p7_keys, p7_found)}
+QUERIES = {f.__name__: f for f in (p5_hierarchy, p5_intervals, p5_descendants, p5_found, p7_keys, p7_found)}
 
 _NODES = """
 n AS (SELECT DISTINCT id, indexer, CASE WHEN redirects_to >= 0 THEN redirects_to END AS up FROM entities),
@@ -94,6 +100,18 @@ _M = "m AS (SELECT ex_id, any_value(wikiid) AS wikiid, any_value(word) AS word,
 ORACLE = {
     "p5_found": f"""WITH RECURSIVE {_NODES}
         SELECT t.indexer, t.id, coalesce(w.root_id, -1) AS root_id FROM t LEFT JOIN w ON w.id = t.id AND w.indexer = t.indexer WHERE t.up IS NOT NULL""",
+    "p5_hierarchy": f"""WITH RECURSIVE {_NODES}, lost AS (SELECT t.* FROM t WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.id = t.id AND w.indexer = t.indexer)),
+        go AS (SELECT indexer, id AS start, up AS now, 1 AS k FROM lost UNION ALL SELECT go.indexer, start, lost.up, k + 1 FROM go JOIN lost ON lost.id = go.now AND lost.indexer = go.indexer WHERE go.now <> go.start AND k < 100000 AND k <= (SELECT count(*) FROM lost)),
+        ring AS (SELECT DISTINCT indexer, start AS id FROM go WHERE now = start),
+        below AS (SELECT indexer, unnest(path) AS id, count(*) - 1 AS n FROM w GROUP BY 1, 2)
+        SELECT w.indexer, w.id, root_id, depth, path, n AS n_descendants, CASE WHEN depth = 0 THEN 'root' ELSE 'child' END AS state FROM w JOIN below USING (indexer, id)
+        UNION ALL SELECT indexer, id, NULL, NULL, NULL, NULL, CASE WHEN EXISTS (SELECT 1 FROM ring r WHERE r.id = lost.id AND r.indexer = lost.indexer) THEN 'cycle' ELSE 'stray' END FROM lost""",
+    "p5_intervals": f"""WITH RECURSIVE {_NODES}, size AS (SELECT indexer, unnest(path) AS id, count(*) AS n FROM w GROUP BY 1, 2),
+        kid AS (SELECT t.indexer, t.id, t.up, s.n, row_number() OVER (PARTITION BY t.indexer, t.up ORDER BY s.n DESC, t.id) = 1 AS heavy FROM t JOIN size s ON s.indexer = t.indexer AND s.id = t.id WHERE t.up IS NOT NULL),
+        sib AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY indexer, up ORDER BY heavy DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS earlier FROM kid),
+        d AS (SELECT indexer, id, id AS root_id, id AS chain, 0 AS position, 0::BIGINT AS first FROM t WHERE up IS NULL UNION ALL
+            SELECT k.indexer, k.id, d.root_id, CASE WHEN k.heavy THEN d.chain ELSE k.id END, CASE WHEN k.heavy THEN d.position + 1 ELSE 0 END, d.first + 1 + k.earlier FROM d JOIN sib k ON k.indexer = d.indexer AND k.up = d.id)
+        SELECT d.indexer, d.id, root_id, chain, position, first, first + n - 1 AS last FROM d JOIN size USING (indexer, id)""",
     "p5_descendants": f"""WITH RECURSIVE {_NODES}
         SELECT indexer, unnest(path[:-2]) AS id, id AS descendant_id FROM w WHERE depth > 0""",
     "p7_keys": f"""WITH {_M}, c AS (SELECT wikiid, word, count(*) AS n FROM m WHERE word IS NOT NULL GROUP BY 1, 2),

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.functions.text import mention_key
+from moraine.functions.vectors import to_arrays
 from moraine.operators import blocks, clustering, dataset, kb_etl, metrics
-from moraine.operators.ranking import grouped_median
 from moraine.operators.skew import distinct_records
 from moraine.session import cut, table
 
@@ -68,10 +68,11 @@ def cluster_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Element-wise mean and median of each label, exploded."""
-    parts = cut(_embeddings(spark, sf_dir).select("grp", F.posexplode("vector").alias("i", "x")))
-    mean = parts.groupBy("grp", "i").agg(F.round(F.avg("x"), 6).alias("mean"))
-    both = mean.join(grouped_median(parts, ["grp", "i"], "x"), ["grp", "i"])
-    return both.select(F.col("grp").alias("label"), "i", "mean", F.round("median", 6).alias("median"))
+    items = cut(_embeddings(spark, sf_dir))
+    means = to_arrays(clustering.mean_vectors(items, DIM, "grp").select("grp", "vector"), "vector", DIM)
+    mean = means.select("grp", F.posexplode("vector").alias("i", "mean"))
+    median = clustering.median_vectors(items, "grp").select("grp", F.posexplode("median").alias("i", "median"))
+    return mean.join(median, ["grp", "i"]).select(F.col("grp").alias("label"), "i", F.round(F.col("mean").cast("double"), 5).alias("mean"), F.round("median", 6).alias("median"))
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +230,7 @@ ORACLE = {
     "cluster_medoid": """WITH v AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS e FROM embeddings),
         s AS (SELECT a.label, a.vec_id, round(sum(list_distance(a.e, b.e)), 6) AS d FROM v a JOIN v b ON a.label = b.label GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS k FROM s) SELECT label, vec_id AS medoid, round(d, 4) AS distance_sum FROM r WHERE k = 1""",
-    "cluster_centroid": """SELECT label::BIGINT AS label, (i - 1)::INT AS i, round(avg(embedding[i]::DOUBLE), 6) AS mean, round(median(embedding[i]::DOUBLE), 6) AS median
+    "cluster_centroid": """SELECT label::BIGINT AS label, (i - 1)::INT AS i, round(avg(embedding[i]::DOUBLE)::FLOAT::DOUBLE, 5) AS mean, round(median(embedding[i]::DOUBLE), 6) AS median
         FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2""",
     "contingency": f"WITH {_CELLS} SELECT t, p, n, nt, np FROM c",
     "bcubed": f"""WITH {_CELLS}, s AS (SELECT sum(n * n / np::DOUBLE) / sum(n) AS p, sum(n * n / nt::DOUBLE) / sum(n) AS r FROM c)
@@ -261,8 +262,14 @@ ORACLE = {
         t AS (SELECT id, sum(n)::BIGINT AS n FROM (SELECT id, n FROM d WHERE id IS NOT NULL UNION ALL SELECT id, n FROM s) GROUP BY 1)
         SELECT i.id, coalesce(t.n, 0) AS n_links FROM (SELECT DISTINCT id FROM e) i LEFT JOIN t ON t.id = i.id""",
     "token_counts": f"SELECT doc_id, CASE WHEN len({_LINES}) > 0 THEN len(string_split(array_to_string({_LINES}, ' '), ' ')) ELSE 0 END AS num_tokens FROM documents",
-    "disambiguation_filter": f"""SELECT doc_id FROM documents WHERE CASE WHEN len({_LINES}) > 0 THEN len(string_split(array_to_string({_LINES}, ' '), ' ')) ELSE 0 END >= 50
-        AND NOT contains(lower(coalesce(title, '')), '(disambiguation)')""",
+    "disambiguation_filter": f"""WITH d AS (SELECT doc_id, title, CASE WHEN len({_LINES}) > 0 THEN len(string_split(array_to_string({_LINES}, ' '), ' ')) ELSE 0 END AS n, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents),
+        f AS (SELECT *, coalesce(nullif(regexp_extract(t, '^(.*?[.!?…])[''"”’»)\\]]*\\s+[\\p{{Lu}}\\p{{N}}"“«–—]', 1), ''), t) AS first FROM d)
+        SELECT doc_id FROM f WHERE n >= 50 AND NOT contains(lower(coalesce(title, '')), '(disambiguation)') AND NOT regexp_matches(lower(first), '\\bmay (also )?refer to\\b')""",
+    "intro_sentences": f"""WITH d AS (SELECT doc_id, trim(coalesce(title, ''), ' ') AS title, string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)) AS x FROM documents),
+        i AS (SELECT doc_id, title, x, list_position(list_transform(x, lambda l: starts_with(l, 'Section::::') OR starts_with(l, '</doc>')), TRUE) AS stop FROM d),
+        b AS (SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(CASE WHEN coalesce(stop, 0) > 0 THEN x[1:stop - 1] ELSE x END, lambda l: trim(l, ' ') <> title AND NOT starts_with(l, 'Section::::')), ' '), '\\s+', ' ', 'g')) AS t FROM i),
+        s AS (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE string_split(regexp_replace(t, '([.!?…])[''"”’»)\\]]*\\s+([\\p{{Lu}}\\p{{N}}"“«–—])', '\\1' || chr(57344) || '\\2', 'g'), chr(57344)) END AS s FROM b)
+        SELECT doc_id, len(s[1:10]) AS n, s[1] AS sent_desc_1 FROM s""",
     "title_then_id_link": """WITH m AS (SELECT title, wikipedia_id, wikidata_qid AS q FROM entities WHERE wikidata_qid IS NOT NULL),
         a AS (SELECT title, min(q) AS q FROM m WHERE title IS NOT NULL GROUP BY 1), b AS (SELECT wikipedia_id, min(q) AS q FROM m WHERE wikipedia_id IS NOT NULL GROUP BY 1)
         SELECT doc_id AS page, d.title, d.wikiid AS wikipedia_id, coalesce(a.q, b.q) AS wikidata_id FROM documents d LEFT JOIN a ON a.title = d.title LEFT JOIN b ON b.wikipedia_id = d.wikiid""",

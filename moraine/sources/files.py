@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from moraine.session import shuffle_width
+
 MENTION_SCHEMA = "ex_id long, left_context_text string, word string, right_context_text string, url string, wikiId long, wikiurl string, y_title string"
 #: names of the raw corpus and of the written dataset
 RENAMES = {
@@ -78,6 +81,81 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
     return t.select("doc", F.col("start").cast("long").alias("start"), "mention", "entity")
 
 
+def read_conll_sentences(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(tokens, mentions) of a token file with sentences ended by blank lines.
+
+    tokens: doc (name after -DOCSTART- without its parenthesis), sent, pos, token. mentions: doc,
+    number, sent, start, end (past the last token), text, entity, from lines of at least six fields:
+    token, B/I, mention, title, entity, ...; an I line prolongs the mention before it. Documents and
+    mentions are numbered by running sums over line numbers; sentences and places by windows over one
+    document. A document name has to occur once in a file.
+    """
+    from moraine.operators.ranking import running_weight
+
+    parts = F.split(F.trim("value"), "\t")
+    t = numbered_lines(spark, path).select("line_no", F.trim("value").alias("value"), parts.alias("c"))
+    t = t.withColumn("head", F.col("value").startswith("-DOCSTART-")).withColumn("_h", F.col("head").cast("long")).withColumn("_all", F.lit(0))
+    t = running_weight(t, ["_all"], [F.col("line_no")], "_h", "_d").withColumn("_doc", F.col("_d") + F.col("_h"))
+    names = t.filter("head").select("_doc", F.expr("substring(split(value, '\\\\s+')[1], 2)").alias("doc"))
+    body = t.filter("not head")
+    inside = Window.partitionBy("_doc").orderBy("line_no")
+    body = body.withColumn("sent", F.sum((F.col("value") == "").cast("int")).over(inside)).filter("value <> ''")
+    body = body.withColumn("pos", F.row_number().over(Window.partitionBy("_doc", "sent").orderBy("line_no")) - 1)
+    marked = F.size("c") >= 6
+    body = body.withColumn("number", F.sum((marked & (F.get("c", F.lit(1)) != "I")).cast("int")).over(inside)).withColumn("_m", marked).join(names, "_doc")
+    tokens = body.select("doc", "sent", "pos", F.get("c", F.lit(0)).alias("token"))
+    held = body.filter("_m and number > 0").groupBy("doc", "number").agg(
+        F.min("sent").alias("sent"), F.min("pos").alias("start"), (F.min("pos") + F.count("*")).cast("int").alias("end"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.get("c", F.lit(0)).alias("t")))), lambda s: s["t"]), " ").alias("text"),
+        F.min_by(F.get("c", F.lit(4)), "line_no").alias("entity"),
+    )
+    return tokens, held
+
+
+def align_mentions(mentions: DataFrame, marked: DataFrame) -> DataFrame:
+    """doc, item, number: the marked mention (doc, number, text) of each mention (doc, item, mention), in order.
+
+    Each mention in item order takes the next marked one of equal lower-cased text without punctuation;
+    marked ones passed over stay unused, and once a mention finds none, neither do those after it. A
+    document is one group: its own mentions only.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+", "")
+    kind = dict(mentions.dtypes)
+    rows = mentions.select("doc", F.col("item").alias("n"), plain("mention").alias("key"), F.lit(1).alias("side"))
+    rows = rows.unionByName(marked.select("doc", F.col("number").cast(kind["item"]).alias("n"), plain("text").alias("key"), F.lit(0).alias("side")))
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, keys, numbers, at = None, [], [], 0
+        for frame in frames:
+            out = []
+            for d, side, n, key in frame.itertuples(index=False, name=None):
+                if d != doc:
+                    doc, keys, numbers, at = d, [], [], 0
+                if side == 0:
+                    keys.append(key)
+                    numbers.append(n)
+                    continue
+                while at < len(keys) and keys[at] != key:
+                    at += 1
+                if at < len(keys):
+                    out.append((d, n, numbers[at]))
+                    at += 1
+            yield pd.DataFrame(out, columns=["doc", "item", "number"])
+
+    # the marked mentions of a document come first and are held while its own pass by
+    sorted_ = rows.select("doc", "side", "n", "key").repartition(shuffle_width(mentions.sparkSession), "doc").sortWithinPartitions("doc", "side", "n")
+    return sorted_.mapInPandas(walk, f"doc {kind['doc']}, item {kind['item']}, number {kind['item']}")
+
+
+def read_sentences(spark: SparkSession, path: str, per_line: bool = True) -> DataFrame:
+    """line_no, pos, sentence: one sentence a line, or with per_line=False the sentences of each line; blank lines have none."""
+    from moraine.operators.kb_etl import sentences
+
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
+    found = F.array(F.trim("value")) if per_line else sentences("value")
+    return lines.select("line_no", F.posexplode(found).alias("pos", "sentence"))
+
+
 def read_mention_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """mention, entity, p from lines "mention TAB total TAB id,p,entity TAB ..."."""
     parts = F.split("value", "\t")
@@ -103,5 +181,56 @@ def write_batches(df: DataFrame, path: str, by: str = "batch") -> None:
     df.write.mode("overwrite").partitionBy(by).json(path)
 
 
+def write_mentions_by_dataset(mentions: DataFrame, path: str) -> None:
+    """JSON lines, one folder per dataset_name, of mentions with their candidates and sentence contexts.
+
+    mentions: dataset_name, mention, gold, gold_pos, candidates, previous, left, right, next (parts of
+    the sentence before and after the mention, and the sentences around it). Nulls count as ''.
+    """
+    c = lambda name: F.coalesce(name, F.lit(""))
+    pair = lambda a, b: F.array(F.trim(a), F.trim(b))
+    mentions.select(
+        "dataset_name", "candidates", "gold_pos", "gold", F.col("mention").alias("text"),
+        pair(F.concat_ws(" ", c("previous"), c("left")), F.concat_ws(" ", c("right"), c("next"))).alias("tagged_query_context_sent_prev_curr_next"),
+        pair(c("left"), c("right")).alias("tagged_query_context_sent_curr"),
+    ).write.mode("overwrite").partitionBy("dataset_name").json(path)
+
+
+def append_run_results(runs: DataFrame, path: str) -> None:
+    """Append a line per run (query, keys, dump_id, recalls: map of name to recall), the best overall recall first.
+
+    A line names the recalls in order and the run. A run is a setting tried, so the lines are few and
+    go into one file; files are read in name order.
+    """
+    named = F.transform(F.array_sort(F.map_entries("recalls")), lambda e: F.format_string("%s - %.2f", e["key"], e["value"]))
+    line = F.concat(F.array_join(named, " --- "), F.format_string(" === Q: `%s` === K: `%s` === ID: `%s`", "query", "keys", "dump_id"))
+    ordered = runs.withColumn("value", line).withColumn("_o", F.try_element_at("recalls", F.lit("overall")))
+    ordered.coalesce(1).sortWithinPartitions(F.col("_o").desc_nulls_last(), "value").select("value").write.mode("append").text(path)
+
+
+def write_encodings(entities: DataFrame, path: str) -> None:
+    """Parquet rows {encoding, label, wikipedia_id, title} of encoded entities (id, wikipedia_id, title, vector)."""
+    from moraine.functions.vectors import to_base64
+
+    vector = F.col("vector") if dict(entities.dtypes)["vector"] == "binary" else None
+    if vector is None:
+        raise ValueError("vector must be binary, as of clean_vectors")
+    entities.select(to_base64(vector).alias("encoding"), F.col("id").alias("label"), "wikipedia_id", "title").write.mode("overwrite").parquet(path)
+
+
+def write_scores(ranked: DataFrame, gold: DataFrame, path: str, kind: str = "bi") -> None:
+    """Parquet rows {query, kind, labels, scores, nns}: the gold, and scores and ids of the ranked candidates of each query.
+
+    ranked: query, rank, score, wikipedia_id. gold: query, gold. A query without candidates has empty arrays.
+    """
+    lists = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "wikipedia_id"))).alias("l"))
+    empty = lambda t: F.array().cast(f"array<{t}>")
+    out = gold.join(lists, "query", "left").select(
+        "query", F.lit(kind).alias("kind"), F.col("gold").alias("labels"),
+        F.coalesce(F.transform("l", lambda s: s["score"]), empty("double")).alias("scores"), F.coalesce(F.transform("l", lambda s: s["wikipedia_id"]), empty("int")).alias("nns"),
+    )
+    out.write.mode("overwrite").parquet(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)  # a report has a row per batch

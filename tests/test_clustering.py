@@ -3,6 +3,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from moraine.operators import blocks
 from moraine.operators import clustering as C
 from moraine.operators.retrieval import approximate_top_k, candidate_arrays, join_entities, merge_lists, rank_of_gold
@@ -68,7 +70,7 @@ def test_packaging(spark):
     assert got[1]["mentions"] == ["b", "a", "a", None] and got[1]["mentions_id"] == [10, 11, 12, 13]
     import base64
 
-    assert np.frombuffer(base64.b64decode(got[1]["center"]), "<f4").tolist() == [2.0, 0.0]
+    assert np.frombuffer(base64.b64decode(got[1]["center"]), "<f4").tolist() == [1.0, 0.0]  # the medoid, the smaller item on a tie
 
 
 def test_medoid_and_modes(spark):
@@ -107,6 +109,41 @@ def test_prefix_join_misses_no_pair(spark):
         assert {tuple(r)[:3] for r in C.feature_similarities(df, bar).collect()} == {k for k, s in wide.items() if s > bar}
 
 
+def test_feature_clusters_equal_the_fold(spark):
+    rng = np.random.default_rng(9)
+    words = ["red house", "red houses", "blue house", "mill", None]
+    contexts = ["by the old river", "by the old river bank", "in town", ""]
+    rows = [(int(rng.integers(0, 2)), i, words[rng.integers(0, 5)], contexts[rng.integers(0, 4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "grp long, item long, mention string, context string")
+    for bar in (0.5, 0.85, 0.95):
+        pairs = df.filter("mention is not null").select("grp", F.col("mention").alias("text"), "context")
+        wide = {(r["grp"], r["text_a"], r["context_a"], r["text_b"], r["context_b"]) for r in C.feature_similarities(pairs, bar).collect()}
+        full = lambda w, c: (0.8 if len(w) > 1 else 0) + (0.2 if c else 0)
+        want = {}
+        for g in (0, 1):
+            own = [r for r in rows if r[0] == g]
+            label = {r[1]: r[1] for r in own}
+            for _, i, w, c in own:
+                for _, j, x, d in own:
+                    same = w is not None and (w, c) == (x, d) and full(w, c) > bar
+                    if same or (g, w, c, x, d) in wide or (g, x, d, w, c) in wide:
+                        label[j] = label[i]
+            want.update(label)
+        assert {r["item"]: r["cluster"] for r in C.feature_clusters(df, bar).collect()} == want
+    assert C.feature_clusters(df.limit(0), 0.9).count() == 0
+
+
+def test_clusterers_under_one_interface(spark):
+    rows = [(1, 1, "Rome", "", [9.0, 0.0]), (1, 2, "Rome", "", [9.0, 0.1]), (1, 3, "Roma", "", [9.0, 0.05]), (1, 4, "Oslo", "", [0.0, 9.0]), (1, 5, "Oslo", "", None)]
+    df = spark.createDataFrame(rows, "grp long, item long, mention string, context string, vector array<float>")
+    got = lambda kind: {r["item"]: r["cluster"] for r in C.cluster_mentions(df, 2, kind).collect()}
+    assert got("three_step") == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert got("greedy") == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert got("feature") == {i: i for i in range(1, 6)}  # no context, no score above the share of the mention
+    with pytest.raises(ValueError):
+        C.cluster_mentions(df, 2, "other")
+
+
 def test_exact_and_approximate_search(spark, monkeypatch):
     monkeypatch.setattr(blocks, "COLLECTION_BLOCK", 64)
     rng = np.random.default_rng(2)

@@ -69,6 +69,7 @@ def test_pair_functions(spark):
     assert sum(s) == pytest.approx(1) and s[2] < 1e-9 and s[1] > s[0]
     assert one(spark, text.argmax(F.array(F.lit(1.0), F.lit(3.0), F.lit(3.0))))[0] == 1
     assert one(spark, text.search_escape(F.lit('A OR B: "x"')))[0] == 'A or B\\: \\"x\\"'
+    assert one(spark, text.search_escape(F.lit("OR a \\+ b OR-2 AND AND")))[0] == "or a \\+ b OR\\-2 and and"
     assert one(spark, text.last_words(F.lit("a b  c"), 2), text.first_words(F.lit("EMPTYCTXT"), 3)) == ("b c", "")
     assert one(spark, text.quoted_aliases(F.array(F.lit("Ab c"), F.lit("🙂"))))[0] == '"Ab c"'
     assert one(spark, text.set_jaccard_distance(F.lit("a b"), F.lit("b c")))[0] == pytest.approx(2 / 3)

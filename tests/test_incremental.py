@@ -30,13 +30,50 @@ def test_batches_grow_the_kb_and_repeat(spark, tmp_path):
     settings = I.Settings(state=str(tmp_path / "state"), **s)
     I.start(spark, settings, vectors, entities)
     reports = {r["batch"]: r for r in I.run_all(mentions, settings, [0, 1, 2]).collect()}
-    assert all(r["recall_at_1"] == 1.0 and r["size"] == 10 for r in reports.values())
-    assert reports[0]["n_nil"] == 4 and reports[0]["n_clusters"] == 2 and reports[0]["overall_accuracy"] == 1.0
-    assert reports[1]["n_nil"] == 0 and reports[1]["overall_accuracy"] == 1.0  # now linked to the added entities
+    assert all(r["linking_recall@1"] == 1.0 and r["size"] == 10 for r in reports.values())
+    assert reports[0]["NIL--support"] == 4 and reports[0]["eval_clustering_pred_clusters_len"] == 2 and reports[0]["overall_accuracy"] == 1.0
+    assert reports[0]["eval_clustering_ceaf_f1"] == reports[0]["nil_clustering_bcubed_recall"] == 1.0
+    assert reports[1]["should_be_nil_total"] == 0 and reports[1]["overall_accuracy"] == 1.0  # now linked to the added entities
+    assert reports[1]["should_be_linked_to_prev_added_correct"] == reports[1]["should_be_linked_to_prev_added_total"] == 4
     again = I.run_batch(mentions.filter("batch = 1").drop("batch"), 1, settings).first()
     assert again["overall_correct"] == reports[1]["overall_correct"]
     added = I._read(spark, settings, "entities", 99).filter("indexer = 20").orderBy("id").collect()
     assert [(r["id"], r["title"], r["wikipedia_id"]) for r in added] == [(0, "N0", -1), (1, "N1", -1)]
+    total = I.overall_report(I._read(spark, settings, "reports", 99)).filter("batch = 'incremental_overall'").first()
+    assert total["size"] == 30 and total["overall_accuracy"] == 1.0
+
+
+def test_one_cluster_a_batch_takes_the_next_id(spark, tmp_path):
+    vectors, entities, mentions, s = scene(spark)
+    settings = I.Settings(state=str(tmp_path / "state"), **s)
+    I.start(spark, settings, vectors, entities)
+    for step, gold in enumerate((900, 901)):
+        I.run_batch(mentions.filter(f"batch = 0 and gold = {gold}").drop("batch"), step, settings)
+    added = I._read(spark, settings, "entities", 99).filter("indexer = 20").orderBy("id").collect()
+    assert [(r["id"], r["title"]) for r in added] == [(0, "N0"), (1, "N1")]
+    held = {r["id"]: np.frombuffer(r["vector"], "<f4") for r in I._read(spark, settings, "vectors", 99).filter("indexer = 20").collect()}
+    assert set(held) == {0, 1}
+    own = [np.float32(r["vector"]) for r in mentions.filter("batch = 0 and gold = 900").collect()]
+    assert any((held[0] == v).all() for v in own)  # the medoid is one of the mentions
+    new = spark.createDataFrame([(1, "x", base64.b64encode(np.float32(range(8)).tobytes()).decode()), (2, "y", "bad")], "item long, title string, encoding string")
+    assert [tuple(r) for r in I.add_request(spark, settings, new, 2).orderBy("item").collect()] == [(1, 2, 20), (2, 3, 20)]
+    I.reset_request(spark, settings, 2)
+    assert I._read(spark, settings, "entities", 99).filter("indexer = 20").isEmpty()
+
+
+def test_correct_steps_and_modes(spark, tmp_path):
+    vectors, entities, mentions, s = scene(spark)
+    lost = spark.createDataFrame([(77, "e0", 555, False, 0, [10.0] + [0.0] * 7)], mentions.schema)
+    settings = I.Settings(state=str(tmp_path / "state"), **s, correct_steps=True, clusterer="three_step")
+    I.start(spark, settings, vectors, entities)
+    r = I.run_one_pass(mentions.filter("batch < 2").unionByName(lost), settings).first()
+    assert r["size"] == 21 and r["dropped"] == 1 and r["overall_accuracy"] is None and r["NIL--support"] == 8
+    added = I._read(spark, settings, "entities", 99).filter("indexer = 20").collect()
+    assert sorted(r["title"] for r in added) == ["N0", "N1"]
+    frame = I.training_frame(mentions.filter("batch = 0"), vectors.filter("indexer = 10"), entities, 8, 3)
+    assert {(r["query"], r["labels"], r["top_title"]) for r in frame.filter("query < 3").collect()} == {(i, 1, f"e{i}") for i in range(3)}
+    empty = I.run_batch(mentions.drop("batch").limit(0), 1, settings).first()
+    assert empty["size"] == 0 and empty["nil_clustering_bcubed_recall"] is None
 
 
 def test_stream_equals_loop(spark, tmp_path):

@@ -37,7 +37,21 @@ def test_assignment_is_the_best(n, m, seed):
     w = np.random.default_rng(seed).integers(0, 5, (n, m)).astype(float)
     small, wide = (w, m) if n <= m else (w.T, n)
     best = max(sum(small[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(wide), min(n, m)))
-    assert M.best_assignment(w) == pytest.approx(best)
+    i, j = np.nonzero(w)
+    assert M.best_matching(i, j, w[i, j]) == pytest.approx(best)
+
+
+def test_sure_edges_lose_nothing(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"t{rng.integers(0, 25)}", f"p{rng.integers(0, 25)}") for _ in range(300)]
+    c = cells(spark, rows)
+    got = c.collect()
+    t, p = sorted({r["t"] for r in got}), sorted({r["p"] for r in got})
+    a, b = np.array([t.index(r["t"]) for r in got]), np.array([p.index(r["p"]) for r in got])
+    for weight, total in (("n", M.aligned_count(c).first()[0]), ("phi", M.matching_total(M._edges(M.phi4(c), "phi")).first()[0])):
+        w = np.array([float(r["n"]) if weight == "n" else 2.0 * r["n"] / (r["nt"] + r["np"]) for r in got])
+        assert total == pytest.approx(M.best_matching(a, b, w))
+    assert M.matching_total(spark.createDataFrame([], "a long, b long, w double")).first()[0] == 0.0
 
 
 def test_report_bounds_and_perfect_clusters(spark):
@@ -53,8 +67,8 @@ def test_report_bounds_and_perfect_clusters(spark):
 def test_recalls(spark):
     ranks = spark.createDataFrame([(1, "a"), (2, "a"), (-1, "b"), (4, "b")], "gold_rank int, w string")
     assert {r["k"]: r["recall"] for r in M.recall_at(ranks, (1, 2, 3, 5)).collect()} == {1: 0.25, 2: 0.5, 3: 0.5, 5: 0.75}
-    by = {r["w"]: (r["n"], r["r2"]) for r in M.recall_by(ranks, "w", [2]).collect()}
-    assert by == {"a": (2, 1.0), "b": (2, 0.0), None: (4, 0.5)}
+    by = {(r["kind"], r["w"]): (r["n"], r["r2"]) for r in M.recall_by(ranks.unionByName(ranks.filter("w = 'a'")), "w", [2]).collect()}
+    assert by == {("group", "a"): (4, 1.0), ("group", "b"): (2, 0.0), ("micro", None): (6, 4 / 6), ("macro", None): (6, 0.5)}
     assert {r["gold_rank"]: r["recall"] for r in M.recall_curve(ranks).collect()} == {1: 25.0, 2: 50.0, 4: 75.0}
 
 
