@@ -43,46 +43,94 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int =
     return value.astype(np.int64)
 
 
-def shard_counts(weights: np.ndarray, caps: np.ndarray, slots: int, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source in each shard (shards x sources).
+def fill(weights: np.ndarray, caps: np.ndarray, total: float, lack: str = "spread") -> np.ndarray:
+    """What each source should give, at most its cap.
 
-    Multinomial draws per shard; a source drawn more often than its cap is thinned to it evenly over
-    the shards (a hypergeometric draw), and its places stay empty, which the report shows.
+    'spread' keeps the total: a source at its cap stays there, and what it lacks goes to the others in
+    proportion to their weights, as long as any is open. 'shrink' takes the largest total, not above the
+    given one, at which every source with something to give holds exactly its weight among these.
     """
-    if not len(weights):
-        return np.zeros((shards, 0), np.int64)
+    w = np.where(caps > 0, weights, 0.0).astype(float)
+    if lack == "shrink":
+        if not w.sum():
+            return np.zeros(len(w))
+        w = w / w.sum()
+        some = w > 0
+        return w * min(total, float((caps[some] / w[some]).min()))
+    if lack != "spread":
+        raise ValueError("lack is 'spread' or 'shrink'")
+    out, open_ = np.zeros(len(w)), w > 0
+    while open_.any():
+        out[open_] = w[open_] / w[open_].sum() * max(0.0, total - out[~open_].sum())
+        over = open_ & (out > caps)
+        if not over.any():
+            break
+        out[over] = caps[over]
+        open_ &= ~over
+    return out
+
+
+def shard_counts(aims: np.ndarray, caps: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """Blocks of each source in each shard (shards x sources): multinomial draws of the aims per shard.
+
+    A source drawn more often than its cap is thinned to it evenly over the shards (a hypergeometric
+    draw), and the places set free are drawn again among the sources below their caps, so that no place
+    stays empty while any source has blocks left.
+    """
+    caps = np.asarray(caps, np.int64)
+    if not len(aims) or aims.sum() <= 0:
+        return np.zeros((shards, len(aims)), np.int64)
     rng = np.random.default_rng(seed)
-    per = np.full(shards, slots // shards, np.int64)
-    per[: slots % shards] += 1
-    p = weights / weights.sum() if weights.sum() > 0 else np.full(len(weights), 1 / max(1, len(weights)))
-    counts = np.array([rng.multinomial(n, p) for n in per], np.int64).reshape(shards, len(weights))
-    for k, cap in enumerate(caps):
-        if counts[:, k].sum() > cap:
-            counts[:, k] = rng.multivariate_hypergeometric(counts[:, k], int(cap), method="marginals")
-    return counts
+    slots = int(round(float(aims.sum())))
+    empty = np.full(shards, slots // shards, np.int64)
+    empty[: slots % shards] += 1
+    counts, p = np.zeros((shards, len(aims)), np.int64), aims / aims.sum()
+    while True:
+        counts += rng.multinomial(empty, p)
+        before = counts.sum(1)
+        for k in np.flatnonzero(counts.sum(0) > caps):
+            counts[:, k] = rng.multivariate_hypergeometric(counts[:, k], int(caps[k]), method="marginals")
+        empty = before - counts.sum(1)
+        room = np.where(aims > 0, caps - counts.sum(0), 0)
+        if not empty.any() or not room.any():
+            return counts
+        p = np.where(room > 0, aims, 0.0)
+        p = p / p.sum()
+
+
+def split_counts(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
+    """Counts of a stretch of places dealt to its shards, as even as whole numbers allow (shards x sources)."""
+    left, out = counts.astype(np.int64).copy(), np.zeros((shards, len(counts)), np.int64)
+    for h in range(shards):
+        out[h] = rng.multivariate_hypergeometric(left, int(left.sum()) // (shards - h), method="marginals")
+        left -= out[h]
+    return out
 
 
 def mix_sources(
-    docs: DataFrame, weights: DataFrame, block_tokens: int = 256, slots_per_shard: int = 4096, seed: int = 1234
+    docs: DataFrame, weights: DataFrame, block_tokens: int = 256, slots_per_shard: int = 4096, seed: int = 1234, lack: str = "spread"
 ) -> tuple[DataFrame, DataFrame]:
     """(mix, report). docs: doc_id, source, tokens. weights: source, target_share, max_repeats.
 
     Each source's documents, in hashed order, form one stream of tokens that is cut into blocks of
     block_tokens (the last may be shorter). The output has as many places as the tokens of the
-    weighted sources fill blocks. Its shards draw their source counts, the k-th place of a source
-    takes block permutation(k mod blocks) of its (k div blocks)-th pass, and places meet blocks in
-    one equi-join on (source, block). So no block is used more than max_repeats times, and each pass
-    has its own order.
+    weighted sources fill blocks, as far as the sources can fill them. `fill` says what each source
+    should give, `lack` what happens where a source cannot give its share. The driver draws the counts
+    of at most MAX_PLAN_ROWS / sources stretches of places; a stretch deals its counts to shards of
+    about slots_per_shard places in a task. The k-th place of a source takes block
+    permutation(k mod blocks) of its (k div blocks)-th pass, and places meet blocks in one equi-join
+    on (source, block). So no block is used more than max_repeats times, and each pass has its own order.
 
     mix: shard, source, place, pass, block, doc_id, first_token, n_tokens: the pieces of documents in
     each place. report, one row per source of weights: target_share, tokens (available once),
-    capacity (tokens x max_repeats), needed (target_share of all), used, actual_share, reached
-    (capacity >= needed). A source without documents is reported with zeros.
+    capacity (tokens x max_repeats), needed (target_share of all tokens), reached (capacity >= needed),
+    aimed_share (after `fill`), used, actual_share (of the mix), deviation (actual less target), and met:
+    the mix holds the target share, less three deviations of the draw. A source without documents is
+    reported with zeros.
 
     Documents with a null id, of a null source or of one without a weight take no part; repeated
     doc_ids count once; null or negative tokens count as 0. Of repeated rows of a source in weights
-    the first in order counts. At most MAX_SOURCES sources, read by the driver; the plan has at most
-    MAX_PLAN_ROWS rows (shards x sources), larger corpora get larger shards.
+    the first in order counts. At most MAX_SOURCES sources, read by the driver.
     """
     spark = docs.sparkSession
     wanted = (
@@ -99,15 +147,29 @@ def mix_sources(
     held = cut(held.join(F.broadcast(names), "source").select("s", "doc_id", "tokens"))
     totals = {r["s"]: r["t"] for r in held.groupBy("s").agg(F.sum("tokens").alias("t")).collect()}
     tokens = np.array([totals.get(i, 0) for i in range(len(wanted))], np.int64)
-    share = np.array([r["target_share"] for r in wanted], float)
+    share = np.array([max(0.0, r["target_share"]) for r in wanted], float)
     repeats = np.array([max(0, r["max_repeats"]) for r in wanted], np.int64)
     blocks = -(-tokens // block_tokens)
     slots = int(-(-tokens.sum() // block_tokens))
-    shards = int(max(1, min(-(-slots // slots_per_shard), MAX_PLAN_ROWS // max(1, len(wanted)))))
-    counts = shard_counts(share, blocks * repeats, slots, shards, seed)
+    aims = fill(share, blocks * repeats, slots, lack)
+    shards = max(1, round(-(-float(aims.sum()) // slots_per_shard)))
+    stretches = int(max(1, min(shards, MAX_PLAN_ROWS // max(1, len(wanted)))))
+    counts = shard_counts(aims, blocks * repeats, stretches, seed)
     first = np.cumsum(counts, axis=0) - counts
-    plan = [(int(h), int(k), int(first[h, k]), int(counts[h, k]), int(blocks[k])) for h, k in zip(*np.nonzero(counts), strict=True)]
-    places = spark.createDataFrame(plan, "shard int, s int, first long, n long, blocks long")
+    bounds = np.arange(stretches + 1) * shards // stretches
+    plan = [(h, int(bounds[h]), int(bounds[h + 1] - bounds[h]), first[h].tolist(), counts[h].tolist()) for h in range(stretches) if counts[h].any()]
+    sizes = blocks.tolist()
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for h, shard, n, start, count in f.itertuples(index=False, name=None):
+                dealt = split_counts(np.array(count), n, np.random.default_rng((seed, h)))
+                begin = np.array(start) + np.cumsum(dealt, axis=0) - dealt
+                i, k = np.nonzero(dealt)
+                yield pd.DataFrame({"shard": shard + i, "s": k, "first": begin[i, k], "n": dealt[i, k], "blocks": np.array(sizes, np.int64)[k]})
+
+    dealt = spark.createDataFrame(plan, "h long, shard long, n long, start array<long>, count array<long>")
+    places = dealt.mapInPandas(deal, "shard long, s int, first long, n long, blocks long")
     places = places.select("shard", "s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("place"))
 
     def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +180,7 @@ def mix_sources(
                 block = permute(n % size, size, (f["s"].to_numpy().astype(np.int64) + 1) * 1_000_003 + turn * 7919 + seed)
                 yield pd.DataFrame({"shard": f["shard"], "s": f["s"], "place": n, "pass": turn, "block": block})
 
-    places = places.mapInPandas(look_up, "shard int, s int, place long, pass long, block long")
+    places = places.mapInPandas(look_up, "shard long, s int, place long, pass long, block long")
     stream = running_weight(held.filter("tokens > 0"), ["s"], [hash_uniform(seed, F.col("doc_id")), F.col("doc_id")], "tokens", "start")
     size = F.lit(block_tokens)
     pieces = stream.withColumn(
@@ -130,13 +192,15 @@ def mix_sources(
     )
     mix = cut(places.join(pieces, ["s", "block"]))
     used = {r["s"]: r["u"] for r in mix.groupBy("s").agg(F.sum("n_tokens").alias("u")).collect()}
-    everything, drawn = int(tokens.sum()), sum(used.values())
+    everything, drawn, aimed = int(tokens.sum()), sum(used.values()), float(aims.sum())
     rows = []
     for i, r in enumerate(wanted):
-        capacity, needed = int(tokens[i] * repeats[i]), float(share[i] * everything)
-        u = used.get(i, 0)
-        rows.append((r["source"], float(share[i]), int(repeats[i]), int(tokens[i]), capacity, needed, int(u), u / drawn if drawn else 0.0, capacity >= needed))
+        capacity, needed, u, w = int(tokens[i] * repeats[i]), float(share[i] * everything), int(used.get(i, 0)), float(share[i])
+        actual = u / drawn if drawn else 0.0
+        noise = 3 * (max(0.0, w * (1 - w)) / max(1.0, aimed)) ** 0.5 + 2 / max(1.0, aimed)
+        rows.append((r["source"], w, int(repeats[i]), int(tokens[i]), capacity, needed, capacity >= needed, float(aims[i] / aimed) if aimed else 0.0, u, actual, actual - w, actual >= w - noise))
     report = spark.createDataFrame(
-        rows, "source string, target_share double, max_repeats int, tokens long, capacity long, needed double, used long, actual_share double, reached boolean"
+        rows,
+        "source string, target_share double, max_repeats int, tokens long, capacity long, needed double, reached boolean, aimed_share double, used long, actual_share double, deviation double, met boolean",
     )
     return mix.join(F.broadcast(names), "s").select("shard", "source", "place", "pass", "block", "doc_id", "first_token", "n_tokens"), report

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from moraine.llm.mixing import mix_sources, permute, shard_counts
+from moraine.llm.mixing import fill, mix_sources, permute, shard_counts, split_counts
 from moraine.llm.tokens import DEFAULT_FOLDER, VOCABULARY, Encoder, encode_texts, load_merges, token_counts
 
 FILE = os.path.join(DEFAULT_FOLDER, VOCABULARY)
@@ -64,9 +64,31 @@ def test_permutation():
 
 
 def test_shard_counts_respect_caps():
-    counts = shard_counts(np.array([0.5, 0.5]), np.array([10**9, 300]), 10_000, 8, 1)
-    assert counts[:, 1].sum() == 300 and counts.shape == (8, 2) and abs(counts[:, 0].sum() - 5000) < 300
-    assert (counts[:, 1] > 10).all()
+    aims = fill(np.array([0.5, 0.5, 0.1]), np.array([10**9, 300, 0]), 10_000)
+    assert aims.tolist() == [9700, 300, 0]
+    counts = shard_counts(aims, np.array([10**9, 300, 0]), 8, 1)
+    assert counts.sum() == 10_000 and counts.shape == (8, 3) and 250 < counts[:, 1].sum() <= 300 and (counts[:, 1] > 10).all()
+    assert fill(np.array([0.7, 0.3]), np.array([10, 10]), 100).tolist() == [10, 10] and fill(np.array([0.0]), np.array([5]), 9).tolist() == [0]
+    assert fill(np.array([0.7, 0.2, 0.1]), np.array([700, 100, 0]), 1000, "shrink") == pytest.approx([350, 100, 0])
+    dealt = split_counts(np.array([1000, 0, 37]), 10, np.random.default_rng(3))
+    assert dealt.sum(0).tolist() == [1000, 0, 37] and set(dealt.sum(1)) <= {103, 104}
+
+
+@pytest.mark.parametrize("lack", ["spread", "shrink"])
+def test_shares_follow_the_aims(spark, lack):
+    docs = [(i, "abcd"[i % 4], 400) for i in range(4000)]
+    want = {"a": (0.4, 1), "b": (0.3, 2), "c": (0.2, 1), "d": (0.1, 1)}
+    pieces, report = mix(spark, docs, [(k, w, m) for k, (w, m) in want.items()], block_tokens=100, slots_per_shard=500, lack=lack)
+    assert not report["a"]["reached"] and report["b"]["reached"]
+    noise = 4 * (0.25 / (sum(r["used"] for r in report.values()) / 100)) ** 0.5
+    for k, (w, _) in want.items():
+        assert abs(report[k]["actual_share"] - report[k]["aimed_share"]) < noise
+        assert report[k]["aimed_share"] == pytest.approx(w) if lack == "shrink" else report["b"]["aimed_share"] > 0.3
+        assert report[k]["met"] == (lack == "shrink" or k != "a")
+    per = {}
+    for p in pieces:
+        per.setdefault(p["shard"], set()).add((p["source"], p["place"]))
+    assert sum(len(x) for x in per.values()) == (16_000 if lack == "spread" else 10_000) and max(len(x) for x in per.values()) <= 501
 
 
 def mix(spark, docs, weights, **kw):
