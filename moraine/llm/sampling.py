@@ -139,15 +139,17 @@ def draw_sample(
     targets: category (name), value (of the category column; null stands for null), target_share,
     min_rows, sample_rows; at most MAX_CATEGORIES rows, read by the driver. sample: stratum, category,
     item, no repeats. report, a row for each stratum and category: available, needed, target, drawn,
-    gap (needed less available, 0 if enough), met.
+    gap (needed less available, 0 if enough), met (enough available), short (needed less drawn, 0 if
+    enough) and drawn_met: the draw holds the whole number of records below needed or more.
 
     Rows without stratum or item take no part; repeated rows of an item count once; values that are
     no category are not drawn. Empty input: both empty.
 
     The category counts of a stratum are the only moments the Newton iterations need. The draw runs
     over blocks of about BLOCK_ROWS hashed units of a category, so a hot stratum spreads over tasks;
-    the units left undecided, at most one per block, meet in a second pass per stratum. The same seed
-    draws the same sample, whatever the partitions.
+    the units left undecided, at most one per block, meet again in blocks of blocks until a category has
+    no more than BLOCK_ROWS of them, and these meet in a last pass per stratum. Each pass has its own
+    random numbers. The same seed draws the same sample, whatever the partitions.
     """
     rows = targets.select("category", "value", "target_share", "min_rows", "sample_rows").limit(MAX_CATEGORIES + 1).collect()
     if len(rows) > MAX_CATEGORIES:
@@ -176,16 +178,29 @@ def draw_sample(
     units = one.filter("category is not null").join(chance, [stratum, "category"]).select(
         stratum, "category", block.alias("block"), "item", "p", hash_uniform(seed, F.col("item")).alias("u")
     )
-    first = units.repartition(shuffle_width(df.sparkSession), stratum, "category", "block")
-    first = cut(first.sortWithinPartitions(stratum, "category", "block", "item").mapInPandas(_duel(stratum, False), schema))
     undecided = f"p > {EPS} and p < {1 - EPS}"
-    second = first.filter(undecided).repartition(stratum).sortWithinPartitions(stratum, "category", "item").mapInPandas(_duel(stratum, True), schema)
-    sample = cut(first.filter(f"not ({undecided})").unionByName(second).filter("p > 0.5").select(stratum, "category", F.col("item").alias(item)))
+    most = plan.agg(F.max("available")).first()[0] or 0
+    settled, turn = [], 0
+    while True:
+        done = units.repartition(shuffle_width(df.sparkSession), stratum, "category", "block")
+        done = cut(done.sortWithinPartitions(stratum, "category", "block", "item").mapInPandas(_duel(stratum, False), schema))
+        settled.append(done.filter(f"not ({undecided})").filter("p > 0.5").select(stratum, "category", "item"))
+        most, turn = -(-most // BLOCK_ROWS), turn + 1
+        fresh = hash_uniform(seed + 1 + turn, F.col("item"))
+        units = done.filter(undecided).select(stratum, "category", F.floor(F.col("block") / BLOCK_ROWS).alias("block"), "item", "p", fresh.alias("u"))
+        if most <= BLOCK_ROWS:
+            break
+    last = units.repartition(stratum).sortWithinPartitions(stratum, "category", "item").mapInPandas(_duel(stratum, True), schema)
+    sample = last.filter("p > 0.5").select(stratum, "category", "item")
+    for part in settled:
+        sample = sample.unionByName(part)
+    sample = cut(sample.withColumnRenamed("item", item))
 
     drawn = sample.groupBy(stratum, "category").agg(F.count("*").alias("drawn"))
     report = plan.join(drawn, [stratum, "category"], "left").select(
         stratum, "category", "available", "needed", "target", F.coalesce("drawn", F.lit(0)).cast("long").alias("drawn"),
         F.greatest(F.lit(0.0), F.col("needed") - F.col("available")).alias("gap"),
-        (F.col("available") >= F.col("needed")).alias("met"),
+        (F.col("available") >= F.col("needed")).alias("met"), F.greatest(F.lit(0.0), F.col("needed") - F.coalesce("drawn", F.lit(0))).alias("short"),
+        (F.coalesce("drawn", F.lit(0)) >= F.floor(F.col("needed") + EPS)).alias("drawn_met"),
     )
     return sample, report
