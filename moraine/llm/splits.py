@@ -16,6 +16,7 @@ from moraine.session import cut
 
 MAX_LARGE_GROUPS = 2000
 MAX_CLASSES = 2000
+PAIR_BLOCK = 1024
 
 
 def normal_word(text: str | None) -> str | None:
@@ -120,7 +121,7 @@ def leakage_free_splits(
     """(assignment, links, report).
 
     assignment: item, grp, split, one row for each distinct non-null item. links: (key, label) of the
-    keys that share words with others. report: split, class, records, share of the class, target.
+    keys that share words with others. report: split, class, records, share of the class, target, deviation.
     Items with equal key or equal normal word, directly or through others, share a group. A null key
     or a null or blank word links nothing; a record with neither is a group of its own. Repeated rows
     of an item count once. More than MAX_CLASSES labels are an error. Empty input: empty outputs.
@@ -162,13 +163,18 @@ def leakage_free_splits(
         F.count("*").alias("_all"), *[F.sum((F.col("split") == s).cast("long")).alias(f"s{i}") for i, (s, _) in enumerate(shares)]
     ).select("_all", "class", F.explode(F.array(*[
         F.struct(F.lit(s).alias("split"), F.col(f"s{i}").alias("records"), F.lit(float(w)).alias("target_share")) for i, (s, w) in enumerate(shares)
-    ])).alias("x")).select("x.split", "class", "x.records", (F.col("x.records") / F.col("_all")).alias("share"), "x.target_share")
+    ])).alias("x")).select("x.split", "class", "x.records", (F.col("x.records") / F.col("_all")).alias("share"), "x.target_share", (F.col("x.records") / F.col("_all") - F.col("x.target_share")).alias("deviation"))
     return assignment.drop("class"), labels, report
 
 
 def linked_pairs(labels: DataFrame) -> DataFrame:
-    """Each two different keys of one group, the smaller first; the size of the result is that of its request."""
-    other = labels.select(F.col("key").alias("key_b"), "label")
-    return labels.select(F.col("key").alias("key_a"), "label").join(other, "label").filter("key_a < key_b").select("key_a", "key_b")
-
+    """Each two different keys of one group, the smaller first; the size of the result is that of its request.
 
+    A group is dealt into blocks of about PAIR_BLOCK keys and each two blocks meet in one join key, so
+    that a giant group is spread over tasks.
+    """
+    sizes = labels.groupBy("label").agg(F.count("*").alias("_n"))
+    dealt = labels.join(sizes, "label").withColumn("_k", F.ceil(F.col("_n") / PAIR_BLOCK).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("key"), F.col("_k")).cast("int"))
+    left = dealt.select(F.col("key").alias("key_a"), "label", F.col("_mine").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_j"))
+    right = dealt.select(F.col("key").alias("key_b"), "label", F.col("_mine").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_i"))
+    return left.join(right, ["label", "_i", "_j"]).filter("key_a < key_b").select("key_a", "key_b")
