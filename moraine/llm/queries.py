@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from moraine.functions.vectors import from_base64
 from moraine.llm import clusters, fusion, mixing, quality, sampling, search, splits, tokens
+from moraine.plans.sql import FLOATS, ITEMS
 from moraine.session import table
 
 SCORES = ("max_bi", "max_cross", "jaccard", "levenshtein")
@@ -41,8 +42,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_pairs(*clusters.average_linkage(_items(spark, sf_dir), DIM, SAME), DIM, SAME)
 
 
-def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top_k entries of kb_vectors for every readable query."""
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb = table(spark, sf_dir, "kb_vectors", "id", "indexer", "encoding")
     asked = table(spark, sf_dir, "search_requests", "query_id", "encodings", "top_k")
     return search.most_similar(
@@ -52,8 +52,13 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("space", "indexer")
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top_k entries of kb_vectors for every readable query, with product and cosine."""
+    return _neighbours(spark, sf_dir).select("query_id", "indexer", "id", F.round("score", 4).alias("score"), F.round("cosine", 6).alias("cosine"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_neighbours(spark, sf_dir).filter(F.col("cosine") >= NEAR).select("query_id", "indexer", "id")
+    return _neighbours(spark, sf_dir).filter(F.col("cosine") >= NEAR).select("query_id", "indexer", "id")
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +164,22 @@ f AS (SELECT query_id, feature_id, round(ra + rb + rc + rd, 12) AS fused FROM r)
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, feature_id) AS place FROM f)
 """
 
+_SAME = f"""WITH RECURSIVE {ITEMS}, l AS MATERIALIZED (SELECT a.item AS a, b.item AS b FROM ok a JOIN ok b ON a.item < b.item WHERE list_cosine_similarity(a.e, b.e) >= {SAME})"""
+_TOP = f"""WITH v AS MATERIALIZED (SELECT indexer, id, any_value(encoding)::DOUBLE[] AS e FROM kb_vectors WHERE len(encoding) = 128
+    AND len(list_filter(encoding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(encoding, lambda x: x <> 0)) > 0 GROUP BY 1, 2),
+s AS (SELECT query_id, any_value(top_k) AS k, regexp_replace(any_value(encodings), '\\s+', '', 'g') AS x FROM search_requests WHERE query_id IS NOT NULL AND top_k > 0 GROUP BY 1),
+d AS (SELECT query_id, k, {FLOATS.format('x')} AS e FROM s WHERE length(x) = 684),
+q AS MATERIALIZED (SELECT * FROM d WHERE len(list_filter(e, lambda y: isnan(y) OR isinf(y) OR abs(y) > 3.5e38)) = 0 AND len(list_filter(e, lambda y: y <> 0)) > 0),
+p AS (SELECT query_id, k, indexer, id, list_inner_product(q.e, v.e) AS score, list_inner_product(q.e, v.e) / sqrt(list_inner_product(q.e, q.e) * list_inner_product(v.e, v.e)) AS cosine FROM q, v),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, indexer, id) AS place FROM p)"""
+
 ORACLE = {
+    # clusters of these tables are such that all their pairs reach the threshold and no pair across does
+    "p1_members": f"""{_SAME}, e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), reach AS (SELECT item AS a, item AS b FROM ok UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+        SELECT a AS item_id, min(b) AS cluster FROM reach GROUP BY 1""",
+    "p1_found": f"{_SAME} SELECT a AS item_a, b AS item_b FROM l",
+    "p2_neighbours": f"{_TOP} SELECT query_id, indexer, id, round(score, 4) AS score, round(cosine, 6) AS cosine FROM r WHERE place <= k",
+    "p2_found": f"{_TOP} SELECT query_id, indexer, id FROM r WHERE place <= k AND cosine >= {NEAR}",
     "p3_ranking": f"WITH {_FUSED} SELECT query_id, feature_id, fused, place FROM p",
     "p3_found": f"WITH {_FUSED} SELECT query_id, feature_id FROM p WHERE place = 1",
     "p4_found": """WITH m AS (SELECT DISTINCT ex_id, batch, nil FROM mentions WHERE batch IS NOT NULL AND ex_id IS NOT NULL)
