@@ -19,6 +19,7 @@ MAX_GROUP_ROWS = 65_536  # collection vectors in a task's memory
 QUERY_BATCH = 512
 SEED_ROWS = 4_096
 TILE = 2_048
+LIST_Z = 16.0  # true neighbours lay at most 14 deviations from their centre, along the query, where it was measured
 
 
 def fit_lists(sample: np.ndarray, lists: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
@@ -61,7 +62,9 @@ class ScanIndex:
         self.norms = np.sqrt((self.rows.astype(np.float64) ** 2).sum(1))
         self.side = (-0.5 * self._side(self.turned)).astype(np.float32)
         self.centres = np.array([self.turned[a:e].mean(0) for a, e in self.tiles], np.float32)
-        self.radii = np.array([np.sqrt(((self.turned[a:e] - c) ** 2).sum(1)).max() for (a, e), c in zip(self.tiles, self.centres, strict=True)], np.float32)
+        squares = [((self.turned[a:e] - c) ** 2).sum(1) for (a, e), c in zip(self.tiles, self.centres, strict=True)]
+        # how far a row may lie from its centre along a query: never more than the radius, and LIST_Z deviations of a random direction
+        self.radii = np.array([min(np.sqrt(q.max()), LIST_Z * np.sqrt(q.mean() / dim)) for q in squares], np.float32)
 
     def _side(self, turned: np.ndarray) -> np.ndarray:
         """Per column block j: squared norm of the dimensions so far, less shares[j] times the whole."""
@@ -76,7 +79,9 @@ class ScanIndex:
         r2 sqrt(2 d (D - d) / (D2 (D + 2))); after each column block, candidates whose distance so far
         is more than z deviations above that mean are abandoned. The bar of a query is its k-th best
         product. Where many candidates of a query survive, the next block is one matrix product over
-        the list, else single pairs are followed. A list is left out only by a Cauchy-Schwarz bound.
+        the list, else single pairs are followed. A list is probed if its centre's product with the
+        query, plus LIST_Z deviations of its rows along a random direction, or a Cauchy-Schwarz bound
+        where that is smaller, reaches the bar.
         """
         turned = rows @ self.turn
         wide = rows.astype(np.float64)
@@ -148,7 +153,7 @@ class ScanIndex:
 
 
 def most_similar(
-    collection: DataFrame, queries: DataFrame, dim: int, block: int = 32, z: float = 3.0, seed: int = 11
+    collection: DataFrame, queries: DataFrame, dim: int, block: int = 32, z: float = 4.0, seed: int = 11
 ) -> DataFrame:
     """For each query the entries with the top_k highest inner products.
 
@@ -162,9 +167,8 @@ def most_similar(
     The lists, in order, are packed into groups of at most MAX_GROUP_ROWS vectors (longer lists are
     cut), queries into blocks, and each (group, block) is one task that holds a group and streams
     the block's queries. Numbers of groups and blocks are chosen to move the fewest bytes. Each
-    query carries a first threshold, its k-th best product within SEED_ROWS sample vectors. No list
-    is left out unless an exact bound excludes it, so the only loss comes from the tests, at z
-    deviations.
+    query carries a first threshold, its k-th best product within SEED_ROWS sample vectors. The only
+    loss comes from the tests: of candidates at z deviations, of lists at LIST_Z.
     """
     spark = collection.sparkSession
     c = clean_vectors(collection.filter("space is not null and id is not null").select("space", "id", "vector"), "vector", dim)
