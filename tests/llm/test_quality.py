@@ -106,3 +106,54 @@ def test_marks_inside_prose():
     assert stat("« Il est là » dit la mère, et puis » elle a ri » avec les autres » dans la maison.")["is_prose"] is True
     assert stat("He came - as they said - in the night - and then he left - with nobody who saw him.")["is_prose"] is True
     assert stat("The moon is out / and we are here / with all the rest / of the year")["is_prose"] is True
+
+
+OTHER = {
+    "nl": "De oude man liep langs de rivier omdat hij in het donker de weg kwijt was geraakt. Niemand zag hem voordat de ochtend kwam, en toen was het te laat. Zijn dochter wachtte thuis met een kaars voor het raam.",
+    "pl": "Stary człowiek szedł wzdłuż rzeki, ponieważ w ciemności zgubił drogę do domu. Nikt go nie widział, zanim nadszedł ranek, a wtedy było już za późno. Jego córka czekała w oknie ze świecą.",
+    "ru": "Старик шёл вдоль реки, потому что в темноте потерял дорогу домой. Никто не видел его до самого утра, а потом было уже слишком поздно. Его дочь ждала у окна со свечой.",
+    "zh": "老人沿着河边走，因为他在黑暗中迷了路。直到早晨来临之前，没有人看见他，那时已经太晚了。他的女儿在窗前点着蜡烛等他回家。",
+    "es": "El viejo caminaba junto al río porque había perdido el camino en la oscuridad. Nadie lo vio antes de que llegara la mañana, y entonces ya era demasiado tarde.",
+}
+
+
+@pytest.mark.parametrize("lang", OTHER)
+def test_prose_in_other_languages(lang):
+    assert stat(OTHER[lang])["is_prose"] is True
+    if lang in ("nl", "pl", "ru"):
+        assert stat("\n".join(w for w in OTHER[lang].title().split()))["is_prose"] is False
+
+
+def test_five_bullets_a_footer_and_one_sentence_again():
+    assert stat("\n".join(f"- {x}" for x in ("the red house", "a small mill", "the old river road", "two boats", "the town hall")))["is_prose"] is False
+    footer = "All rights of the owner are reserved\nRead the terms of use\n"
+    assert stat(footer * 3)["is_prose"] is False
+    assert stat("\n".join([PROSE["en"][:70]] * 8))["is_prose"] is False
+
+
+def test_a_batch_equals_its_texts():
+    texts = [None, "", *PROSE.values(), *JUNK.values(), *OTHER.values(), "x", "one two", "\u200b\n \u2028end."]
+    from moraine.llm.quality import describe_all
+
+    assert describe_all(texts) == [describe(t) for t in texts]
+
+
+def test_ngram_coverage_by_counting():
+    from collections import Counter
+
+    rng = random.Random(5)
+    for _ in range(30):
+        words = [rng.choice(["a", "bb", "ccc", "dd"]) for _ in range(rng.randrange(8, 60))]
+        if rng.random() < 0.5:
+            words = words + words
+        total, top, covered = sum(map(len, words)), 0, set()
+        for n in (2, 3, 4):
+            grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+            top = max([top, *(c * sum(map(len, g)) for g, c in grams.items() if c > 1)])
+        seen = set()
+        for i in range(len(words) - 9):
+            if tuple(words[i : i + 10]) in seen:
+                covered |= set(range(i, i + 10))
+            seen.add(tuple(words[i : i + 10]))
+        s = stat(" ".join(words))
+        assert s["top_ngram_coverage"] == pytest.approx(min(1, top / total)) and s["repeated_ngram_coverage"] == pytest.approx(sum(len(words[i]) for i in covered) / total)
