@@ -40,6 +40,14 @@ def complete_groups(batches: Iterable[pa.RecordBatch], key: str, target: int = 8
         yield pa.Table.from_batches(held).combine_chunks(), False
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str, target: int, limit: int) -> Iterator[pa.Table]:
+    """complete_groups for keys whose runs are bounded by construction: one longer than `limit` is an error, never cut."""
+    for table, goes_on in complete_groups(batches, key, target, limit):
+        if goes_on:
+            raise ValueError(f"more than {limit} rows of one {key}")
+        yield table
+
+
 def run_bounds(keys: np.ndarray) -> np.ndarray:
     """Start offsets of the runs of equal keys, and the end."""
     if not len(keys):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.functions.arrow import complete_groups, run_bounds
+from moraine.functions.arrow import run_bounds, whole_groups
 from moraine.functions.vectors import clean_vectors, matrix
 from moraine.session import cut, shuffle_width
 
@@ -120,7 +120,7 @@ def group_pairs(items: DataFrame, dim: int, threshold: float, cosine: bool = Fal
     )
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in complete_groups(batches, "key", target=GROUP_BLOCK, limit=32 * GROUP_BLOCK):
+        for table in whole_groups(batches, "key", GROUP_BLOCK, 32 * GROUP_BLOCK):
             keys, groups, ids = table["key"].to_numpy(), table["grp"].to_numpy(), table["item"].to_numpy()
             inner, block = table["inner"].to_numpy(zero_copy_only=False), table["block"].to_numpy()
             rows = matrix(table["vector"], dim).astype(np.float64)

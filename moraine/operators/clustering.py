@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moraine.functions.arrow import run_bounds, whole_groups
 from moraine.functions.text import mention_key, words
 from moraine.functions.vectors import clean_vectors, matrix, to_base64
 from moraine.operators.blocks import group_pairs
@@ -321,9 +322,7 @@ def medoids(items: DataFrame, dim: int) -> DataFrame:
     right = asked.select(F.xxhash64("grp", F.col("other"), F.col("mine")).alias("key"), F.lit(0).alias("tag"), "grp", "item", "vector")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from moraine.functions.arrow import complete_groups, run_bounds
-
-        for table, _ in complete_groups(batches, "key", target=2 * block, limit=64 * block):
+        for table in whole_groups(batches, "key", 2 * block, 64 * block):
             keys, tags, ids, groups = table["key"].to_numpy(), table["tag"].to_numpy(), table["item"].to_numpy(), table["grp"].to_numpy()
             rows = matrix(table["vector"], dim).astype(np.float64)
             bounds = run_bounds(keys)

@@ -126,6 +126,41 @@ def fit_nil_model(train: DataFrame, features: Sequence[str], label: str, undersa
     ).fit(rows)
 
 
+# fixed values: the tasks of the published ablation; a name lists its features, "under" balances the classes first
+ABLATION_TASKS = """
+nilp_bi_max nilp_under_bi_max nilp_under_bi_max_secondiff nilp_bi_max_secondiff
+nilp_under_bi_max_secondiff_levenshtein_jaccard nilp_bi_max_secondiff_levenshtein_jaccard
+nilp_under_bi_max_levenshtein nilp_under_bi_max_jaccard nilp_under_bi_max_stdev10 nilp_under_bi_max_stats10
+nilp_under_bi_max_levenshtein_jaccard nilp_bi_max_levenshtein_jaccard nilp_under_bi_max_stdev_levenshtein
+nilp_under_bi_max_stdev_jaccard nilp_under_bi_max_stdev_levenshtein_jaccard nilp_under_bi_max_stats10_levenshtein
+nilp_under_bi_max_stats10_jaccard nilp_under_bi_max_stats10_levenshtein_jaccard nilp_bi_max_stats10_levenshtein_jaccard
+"""
+FEATURES_OF = {"max": ["max"], "stdev10": ["stdev"], "stats10": ["mean", "median", "stdev"]}
+
+
+def task_features(name: str) -> tuple[bool, list[str]]:
+    """Whether a task balances the classes, and its features, from its name."""
+    parts = name.removeprefix("nilp_").split("_")
+    return "under" in parts, [f for p in parts if p not in ("under", "bi") for f in FEATURES_OF.get(p, [p])]
+
+
+def ablation_table(train: DataFrame, test: DataFrame, tasks: Sequence[str] = tuple(ABLATION_TASKS.split()), key: str = "query") -> DataFrame:
+    """A row per task: name, the rows of train and test with all its features, and the measures of ablation_measures.
+
+    train, test: key, labels, the features, and baseline and correct (0/1: the best candidate is the
+    gold; of test). Each task fits one model on its rows; the loop is over tasks, not over data.
+    """
+    out, size = None, test.count()
+    for name in tasks:
+        under, features = task_features(name)
+        model = fit_nil_model(train, features, "labels", under, key)
+        scored = predict_nil(model, test, features, "_p1").filter(F.col("_p1").isNotNull())
+        row = ablation_measures(scored, "_p1", "labels", "baseline", "correct", size)
+        row = row.withColumn("name", F.lit(name)).withColumn("train_rows", F.lit(train.dropna(subset=[*features, "labels"]).count()))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def predict_nil(model: PipelineModel, df: DataFrame, features: Sequence[str], score: str = "nil_score") -> DataFrame:
     """P(not NIL) for rows with every feature, null for others; all rows stay."""
     whole = F.lit(True)

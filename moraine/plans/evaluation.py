@@ -366,7 +366,7 @@ ORACLE = {
     "benchmark_table": f"""WITH {_GOLD}, t AS (SELECT type AS name, count(*) AS n, round(avg((rank = 1)::INT), 9) AS accuracy, round(avg((rank BETWEEN 1 AND 10)::INT), 9) AS recall_10 FROM z GROUP BY 1)
         SELECT * FROM t UNION ALL SELECT * FROM (VALUES ('person', 0, 0.0, 0.0), ('earlier', 1, 1.0, 1.0)) o(name, n, accuracy, recall_10) WHERE name NOT IN (SELECT name FROM t WHERE name IS NOT NULL)""",
     "roc_points": f"""WITH {_D}, y AS (SELECT nil_score AS t, (NOT should_be_nil AND good)::INT AS y FROM x WHERE nil_score IS NOT NULL), yc AS (SELECT t, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM y GROUP BY 1)
-        SELECT round(t, 9) AS threshold, round(sum(n) OVER (ORDER BY t DESC) / (SELECT sum(n) FROM yc)::DOUBLE, 9) AS fpr, round(sum(p) OVER (ORDER BY t DESC) / (SELECT sum(p) FROM yc)::DOUBLE, 9) AS tpr FROM yc""",
+        SELECT round(t, 9) AS threshold, round(sum(n) OVER (ORDER BY t DESC) / nullif((SELECT sum(n) FROM yc), 0)::DOUBLE, 9) AS fpr, round(sum(p) OVER (ORDER BY t DESC) / nullif((SELECT sum(p) FROM yc), 0)::DOUBLE, 9) AS tpr FROM yc""",
     "score_density": f"""WITH {_D}, y AS (SELECT nil_score AS t, (NOT should_be_nil AND good)::INT AS label FROM x WHERE nil_score IS NOT NULL)
         SELECT label, round(g * 0.05, 6) AS at, round(avg(exp(-0.5 * pow((g * 0.05 - t) / 0.05, 2))) / (0.05 * sqrt(2 * pi())), 6) AS density FROM y, range(0, 21) r(g) GROUP BY 1, 2, g""",
 }

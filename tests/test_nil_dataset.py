@@ -111,3 +111,16 @@ def test_kb_tables(spark, tmp_path):
     assert kb.reset(e.unionByName(new.drop("cluster"))).count() == 3
     t = kb.title_lookup(spark.createDataFrame([(1, "a", "x", 5), (2, "a", "y", 6)], "id int, title string, descr string, wikipedia_id int")).first()
     assert (t["id"], t["descr"]) == (2, "y")
+
+
+def test_ablation_tasks(spark):
+    from moraine.operators import nil as N
+
+    names = N.ABLATION_TASKS.split()
+    assert len(names) == len(set(names)) == 19
+    assert N.task_features("nilp_under_bi_max_stats10_jaccard") == (True, ["max", "mean", "median", "stdev", "jaccard"])
+    rows = [(i, float(i % 10), (i % 7) / 7, int(i % 10 > 4), int(i % 10 > 4), int(i % 10 > 4)) for i in range(200)] + [(999, None, 0.1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "query long, max double, secondiff double, labels int, baseline int, correct int")
+    got = {r["name"]: r for r in N.ablation_table(df, df, ("nilp_bi_max", "nilp_under_bi_max_secondiff")).collect()}
+    assert got["nilp_bi_max"]["acc"] == 100.0 and got["nilp_bi_max"]["train_rows"] == 200 and got["nilp_bi_max"]["acc_adjusted"] < 100
+    assert got["nilp_under_bi_max_secondiff"]["macro_f1"] > 99
