@@ -20,7 +20,7 @@ def lexical_candidates(queries: DataFrame, entities: DataFrame, k: int = 80, des
     The k-th best posting of any word of a query is a floor of its k-th score. Words whose largest
     weights together lie below that floor cannot bring an entity in by themselves, so only the posting
     lists of the other words are read for candidates, and the weak words, the frequent ones as a rule,
-    are looked up for these alone. No result changes.
+    are looked up for those of them that may still reach the floor. No result changes.
     """
     fields = entities.select("id", "links", F.explode(F.array(
         F.struct(F.lit("t").alias("field"), words("title").alias("ws"), F.lit(1.0).alias("fw")),
@@ -46,7 +46,11 @@ def lexical_candidates(queries: DataFrame, entities: DataFrame, k: int = 80, des
     split = ordered.select("_text", "bar", "terms", F.posexplode("terms").alias("pos", "t")).select("_text", F.col("t.term").alias("term"), (spare < F.col("bar") * (1 - 1e-9)).alias("weak"))
     split = cut(split)
     strong = split.filter("not weak").join(postings, "term").select("_text", "id", "w")
-    found = cut(strong.groupBy("_text", "id").agg(F.sum("w").alias("w")))
+    # what a candidate has to hold already, as all weak words together add less than the rest of the bar
+    bar = F.col("bar") * (1 - 1e-9)
+    need = ordered.select("_text", (bar - F.aggregate("terms", F.lit(0.0), lambda s, t: F.when(s + t["most"] < bar, s + t["most"]).otherwise(s))).alias("need"))
+    found = strong.groupBy("_text", "id").agg(F.sum("w").alias("w")).join(need, "_text").filter(F.col("w") >= F.col("need")).select("_text", "id", "w")
+    found = cut(found)
     extra = found.select("_text", "id").join(split.filter("weak").select("_text", "term"), "_text").join(postings, ["term", "id"]).select("_text", "id", "w")
     score = found.unionByName(extra).groupBy("_text", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     order = Window.partitionBy("_text").orderBy(F.col("score").desc(), "id")
