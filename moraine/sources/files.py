@@ -43,7 +43,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, idx, title, text of an entity catalogue (JSON lines, plain or gz)."""
+    """line_no, idx, title, text of an entity catalogue (JSON lines, plain or gz); line numbers hold for one file, as
+    the order of several files is Spark's own."""
     item = F.from_json("value", "idx string, title string, text string")
     return numbered_lines(spark, path).select("line_no", item.alias("j")).select("line_no", "j.idx", "j.title", "j.text")
 
