@@ -39,6 +39,7 @@ def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records in one cluster whose own cosine reaches the threshold too, as the case is defined."""
     return clusters.cluster_pairs(*clusters.average_linkage(_items(spark, sf_dir), DIM, SAME), DIM, SAME)
 
 
@@ -58,6 +59,7 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours whose cosine is at least NEAR."""
     return _neighbours(spark, sf_dir).filter(F.col("cosine") >= NEAR).select("query_id", "indexer", "id")
 
 
@@ -89,6 +91,7 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches and categories with fewer records than needed; what the draw itself holds is in p4_report."""
     return _sample(spark, sf_dir)[1].filter("not met").select("batch", "category")
 
 
@@ -133,6 +136,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose tokens cannot reach their weight at their most repeats; what the mix holds is in p9_report."""
     return _mix(spark, sf_dir)[1].filter("not reached").select("source")
 
 
