@@ -121,6 +121,18 @@ def test_all_pairs_over_blocks(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_result_is_whole_at_any_size_whatever_buckets_miss(spark, monkeypatch):
+    """Inputs of more than EXACT_NODES clusters ended by chance: pairs that the buckets never showed were lost."""
+    monkeypatch.setattr(C, "EXACT_NODES", 0, raising=False)
+    monkeypatch.setattr(C, "empty_epochs", lambda *a: 1)
+    monkeypatch.setattr(C, "similarity_graph", lambda nodes, *a: nodes.sparkSession.createDataFrame([], "a long, b long, sim double"))
+    monkeypatch.setattr(C, "EXACT_BLOCK", 4)
+    monkeypatch.setattr(C, "STRIP", 16)
+    n = 12
+    _, pairs, _, _ = found(spark, table(spark, isolated_pairs(np.random.default_rng(8), n)))
+    assert pairs == {(2 * i, 2 * i + 1) for i in range(n)}
+
+
 def test_empty_epochs_follow_the_chance():
     assert C.empty_epochs(DIM, 0.99, 8) < C.empty_epochs(DIM, 0.8, 8) < C.empty_epochs(DIM, 0.8, 2)
 
