@@ -184,6 +184,30 @@ def test_search_recall_ties_and_bad_rows(spark):
         assert r["score"] == pytest.approx(float(q[r["query_id"]].astype(float) @ x[j].astype(float)), abs=1e-6)
 
 
+def test_least_cosine_keeps_ranks_and_saves_work(spark, monkeypatch):
+    """Long entries of a low cosine take places of the top_k; entries that no result can depend on are not followed."""
+    rng = np.random.default_rng(12)
+    centres = unit(rng.standard_normal((60, DIM)))
+    x = unit(np.repeat(centres, 8, 0) + 0.08 * rng.standard_normal((480, DIM))) * rng.uniform(0.6, 1.7, (480, 1))
+    q = unit(centres[:50] + 0.08 * rng.standard_normal((50, DIM))) * rng.uniform(0.5, 2, (50, 1))
+    x, q = x.astype(np.float32), q.astype(np.float32)
+    keys, k = [(10, i) for i in range(480)], [int(n) for n in rng.choice([1, 3, 20], 50)]
+    cosine = unit(q.astype(float)) @ unit(x.astype(float)).T
+    top = brute_top(x, keys, q, k)
+    want = {w for w in top if cosine[w[0], w[2]] >= 0.7}
+    assert any(cosine[i, j] >= 0.7 and (i, 10, j) not in top for i in range(50) for j in range(480)) and len(want) < len(top)
+    for c, kept in ((0.7, want), (-0.5, {w for w in top if cosine[w[0], w[2]] >= -0.5})):
+        got = {(r["query_id"], r["space"], r["id"]) for r in run_search(spark, x, keys, q, k, z=8.0, least_cosine=c)}
+        assert got == kept
+    followed = []
+    keep = ScanIndex._keep
+    monkeypatch.setattr(ScanIndex, "_keep", lambda self, best, fresh, *a: followed.append(sum(len(f[0]) for f in fresh)) or keep(self, best, fresh, *a))
+    index = ScanIndex(np.arange(480), np.zeros(480, int), rng.integers(0, 4, 480), x, rotation(DIM, 1), 4, 8.0)
+    floor = 0.7 * np.linalg.norm(x.astype(float), axis=1).min() * np.linalg.norm(q.astype(float), axis=1)
+    index.search(q, np.full(50, 480), floor)
+    assert sum(followed) == (q.astype(float) @ x.astype(float).T >= floor[:, None]).sum()
+
+
 def test_search_small_and_empty(spark):
     x = np.eye(DIM, dtype=np.float32)[:3]
     rows = run_search(spark, x, [(10, 1), (10, 2), (20, 1)], [x[0]], [10])
