@@ -108,3 +108,17 @@ def test_oracle_chain_and_sentences(spark):
     assert {r["pos"]: r["previous"] for r in L.sentence_neighbours(s, quirk=True).collect()} == {0: "", 1: "", 2: "s1"}
     seen, unseen = L.seen_split(spark.createDataFrame([(1, 5), (2, None)], "i int, e int"), "e", spark.createDataFrame([(5,)], "e int"))
     assert seen.count() == unseen.count() == 1
+
+
+def test_batches_leave_one_file_each_and_come_back_whole(spark, tmp_path):
+    rows = [(i, None if i % 7 == 0 else f"l{i}\n\u2028é", None if i % 5 == 0 else ["a/b", "c=d", "7", "e"][i % 4]) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, t string, batch string").repartition(8)
+    out = str(tmp_path / "out")
+    for path, gzip in ((out, False), (f"file://{out}", True)):
+        files.write_batches(df, path, gzip=gzip)
+        folders = sorted((tmp_path / "out").glob("batch=*"))
+        assert [len(list(f.iterdir())) for f in folders] == [1] * 5  # before, one of every task
+        assert {(r["a"], r["t"]) for r in files.read_batches(spark, path, "a int, t string", 512).collect()} == {r[:2] for r in rows}
+        assert {(r["a"], r["batch"]) for r in spark.read.schema("a int, batch string").json(out).collect()} == {(a, b) for a, _, b in rows}
+    files.write_batches(df.limit(0), out)
+    assert files.read_batches(spark, out, "a int, t string").count() == 0
