@@ -175,3 +175,23 @@ def test_candidates_with_dummies(spark):
     gold = spark.createDataFrame([(1, 77), (2, 77), (3, None)], "query long, gold long")
     assert {r["query"]: r["gold_rank"] for r in rank_of_gold(ranked, gold).collect()} == {1: 2, 2: -1, 3: -1}
     assert [x["id"] for x in candidate_arrays(ranked).filter("query = 1").first()["candidates"]] == [5, 5, 6]
+
+
+def test_top_lists_in_blocks_and_pieces_equal_all_products(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = rng.integers(-2, 3, (60, 4)).astype(float)  # many ties
+    base[base.any(axis=1) == 0] = 1.0
+    c = [(s, i, 100 * i + s, base[(i + s) % 60].tolist()) for s in (1, 2) for i in range(60)]
+    q = [(f"q{i}", rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(25)]
+    q = [(n, v if any(v) else [1.0, 0, 0, 0]) for n, v in q]
+    c_df, q_df = spark.createDataFrame(c, "space int, id long, tag long, vector array<double>"), spark.createDataFrame(q, "query string, vector array<double>")
+    want = {(n, s): sorted((-float(np.dot(v, x)), i, t) for z, i, t, x in c if z == s)[:7] for n, v in q for s in (1, 2)}
+    for asked, packed in ((16384, 16384), (3, 8), (10, 5)):
+        monkeypatch.setattr(blocks, "QUERY_BLOCK", asked)
+        monkeypatch.setattr(blocks, "COLLECTION_BLOCK", packed)
+        got = {(r["query"], r["space"]): [(e["less"], e["id"], e["tag"]) for e in r["found"]] for r in blocks.top_lists(q_df, c_df, 4, 7).collect()}
+        assert got == want
+        flat = blocks.exact_top_k(q_df, c_df.drop("tag"), 4, 7)
+        assert {(r["query"], r["space"], r["rank"]): (-r["score"], r["id"]) for r in flat.collect()} == {(*n, i + 1): e[:2] for n, x in want.items() for i, e in enumerate(x)}
+        # queries are not copied to each block of the collection, nor candidates sorted in a window
+        assert "Window" not in flat._jdf.queryExecution().toString()
