@@ -43,3 +43,24 @@ def test_word_context_vectors(spark):
     m = spark.createDataFrame([(1, "d", 3), (2, "none", 0)], "item long, doc string, at int")
     got = [tuple(r) for r in L.word_context_vectors(m, w, v, window=1, head=2).collect()]
     assert [(i, [round(x, 9) for x in vec]) for i, vec in got] == [(1, [round(0.6 * 2.5 + 0.4 * 0.5, 9), 1.0])]
+
+
+def test_each_mention_text_is_encoded_once(spark, tmp_path):
+    def make():
+        plain = hashing_encoder(32)
+
+        def encode(texts):
+            with open(tmp_path / "seen", "a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return plain(texts)
+
+        return encode
+
+    texts = spark.createDataFrame([(i, "We saw New York and Old Rome.") for i in range(20)], "key long, text string")
+    entities = spark.createDataFrame([(i, 10, i + 1, t, "x") for i, t in enumerate(("New York", "Old Rome", "Oslo"))], "id int, indexer int, wikipedia_id int, title string, type_ string")
+    vectors = spark.createDataFrame([(i, 10, [float(x) for x in hashing_encoder(32)([t])[0]]) for i, t in enumerate(("New York", "Old Rome", "Oslo"))], "id long, indexer int, vector array<float>")
+    got = link_text(texts, vectors, entities, make, 32, 2, tagger=lambda t: [(7, 15), (20, 28)]).collect()
+    assert len({r["query"] for r in got}) == len(got) == 40
+    assert all(r["candidates"][0]["title"].lower() == r["mention"] and len(r["candidates"]) == 2 for r in got)
+    # a plan may run the encoder again, but never over each occurrence
+    assert (tmp_path / "seen").read_text().count("new york") < 20
